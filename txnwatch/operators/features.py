@@ -12,6 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.functions import money, rules
+from txnwatch.functions.parts import (
+    AMOUNTS,
+    COUNTRY,
+    MERCHANT,
+    SUMS,
+    USED,
+    part_sums,
+    transaction_parts,
+)
 from txnwatch.functions.timing import (
     HOUR,
     MINUTE,
@@ -29,72 +38,54 @@ from txnwatch.operators.timeline import OPENING_RANK
 from txnwatch.schemas import BASELINE_DAYS
 
 
-def _first_coverage(
-    tx: DataFrame, column: str, out: str, size: int
-) -> DataFrame:
-    """+1/-1 marks so that their running sum is the number of distinct ``column`` values.
-
-    A value seen in minute p lies in the windows that start in (p - size, p]. Windows
-    already covered by the value's previous minute are left out, so each counts it once.
-    """
-    seen = tx.filter(F.col(column).isNotNull()).select("user_id", column, "minute").distinct()
-    before = F.lag("minute").over(Window.partitionBy("user_id", column).orderBy("minute"))
-    span = seen.select(
-        "user_id",
-        F.greatest(F.col("minute") - (size - 1), before + 1).alias("first"),
-        (F.col("minute") + 1).alias("last"),
-    )
-    marks = F.array(
-        F.struct(F.col("first").alias("at"), F.lit(1).cast("bigint").alias(out)),
-        F.struct(F.col("last").alias("at"), F.lit(-1).cast("bigint").alias(out)),
-    )
-    return span.select("user_id", F.inline(marks))
-
-
 def sliding_features(tx: DataFrame, size: int) -> DataFrame:
     """Statistics per user and sliding window of ``size`` minutes, one window per minute.
 
     Rows are first reduced to minutes. Instead of copying each minute into ``size``
     windows, every minute marks where its values enter and leave, and a running sum along
-    the window starts gives all windows between two marks. Only the finished windows are
-    written out, so the shuffled data does not grow with ``size``.
+    the window starts gives all windows between two marks. A merchant or country marks
+    only the windows that its previous minute does not cover, so each window counts it
+    once. Windows are written out after the last shuffle, so the shuffled data does not
+    grow with ``size``.
     """
     dtype = type_of(tx)
-    base = tx.select("user_id", minute_of(F.col("timestamp")).alias("minute"),
-                     "amount", "merchant", "country")
-    panes = base.groupBy("user_id", "minute").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("amount").alias("known"),
-        F.coalesce(F.sum(money.cents(F.col("amount"))), F.lit(0)).alias("spend"),
-        F.count_if(rules.near_threshold()).alias("near"),
-        F.max("amount").alias("peak"),
+    minutes = (
+        tx.select(
+            "user_id", minute_of(F.col("timestamp")).alias("minute"), F.inline(transaction_parts())
+        )
+        .filter(USED)
+        .groupBy("user_id", "minute", "kind", "value")
+        .agg(*part_sums())
     )
-    counted = ["n", "known", "spend", "near"]
+    minute = F.col("minute")
+    same_value = Window.partitionBy("user_id", "kind", "value").orderBy("minute")
+    additive = F.col("kind") == AMOUNTS
+    opening = minute - (size - 1)
+    spans = minutes.select(
+        "user_id",
+        "minute",
+        F.when(additive, opening)
+        .otherwise(F.greatest(opening, F.lag("minute").over(same_value) + 1))
+        .alias("first"),
+        *SUMS,
+        (F.col("kind") == MERCHANT).cast("bigint").alias("merchants"),
+        (F.col("kind") == COUNTRY).cast("bigint").alias("countries"),
+        "peak",
+    )
+    sums = [*SUMS, "merchants", "countries"]
 
     def mark(at, sign, peak):
-        values = [(F.lit(sign) * F.col(c)).alias(c) for c in counted]
-        return F.struct(at.alias("at"), *values, peak.alias("peak"))
+        return F.struct(
+            at.alias("at"), *[(F.lit(sign) * F.col(c)).alias(c) for c in sums], peak.alias("peak")
+        )
 
     none = F.lit(None).cast("double")
-    nothing = F.lit(0)
-    pane_marks = panes.select(
-        "user_id",
-        F.inline(
-            F.array(
-                mark(F.col("minute") - (size - 1), 1, none),
-                mark(F.col("minute") + 1, -1, none),
-                mark(F.col("minute"), 0, F.col("peak")),
-            )
-        ),
-    )
-    sums = [*counted, "merchants", "countries"]
-    marks = pane_marks
-    for column, out in (("merchant", "merchants"), ("country", "countries")):
-        marks = marks.unionByName(
-            _first_coverage(base, column, out, size), allowMissingColumns=True
-        )
-    steps = marks.groupBy("user_id", "at").agg(
-        *[F.sum(F.coalesce(F.col(c), nothing)).alias(c) for c in sums], F.max("peak").alias("peak")
+    marks = [mark(F.col("first"), 1, none), mark(minute + 1, -1, none)]
+    highest = F.when(F.col("peak").isNotNull(), mark(minute, 0, F.col("peak")))
+    steps = (
+        spans.select("user_id", F.inline(F.array_compact(F.array(*marks, highest))))
+        .groupBy("user_id", "at")
+        .agg(*[F.sum(c).alias(c) for c in sums], F.max("peak").alias("peak"))
     )
     line = Window.partitionBy("user_id").orderBy("at")
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
@@ -222,36 +213,74 @@ def baseline(tx: DataFrame, as_of: AsOf, include_today: bool = True) -> DataFram
     )
 
 
-HOURLY = [
-    "tx_count_1h", "total_spend_1h", "avg_amount_1h", "max_amount_1h",
-    "distinct_merchants_1h", "distinct_countries_1h",
-]
+def hybrid_features(tx: DataFrame, as_of: dt.datetime, day: dt.date) -> DataFrame:
+    """14-day baseline and totals of ``day`` per user, in one pass over the transactions.
+
+    Equal to joining ``baseline`` and ``intraday_features``, which read the table twice.
+    """
+    dtype = type_of(tx)
+    midnight = dt.datetime.combine(day, dt.time())
+    since = as_of - dt.timedelta(days=BASELINE_DAYS)
+    ts = F.col("timestamp")
+    based = ts >= instant(since, dtype)
+    today = (ts >= instant(midnight, dtype)) & (
+        ts < instant(midnight + dt.timedelta(days=1), dtype)
+    )
+
+    def spend(condition):
+        whole = F.sum(F.when(condition, money.cents(F.col("amount"))))
+        return F.coalesce(money.dollars(whole), F.lit(0.0))
+
+    return (
+        tx.filter(based | today)
+        .groupBy("user_id")
+        .agg(
+            F.count_if(based).alias("baseline_tx_count"),
+            spend(based).alias("baseline_total_spend"),
+            F.count_if(today).alias("intraday_tx_count"),
+            spend(today).alias("intraday_total_spend"),
+        )
+    )
 
 
-def _presence(events: DataFrame, column: str, out: str) -> DataFrame:
-    """+1/-1 marks whose running sum is the number of values seen in the last hour.
+def _presence(tx: DataFrame) -> DataFrame:
+    """+1/-1 marks whose running sums are the merchants and countries of the last hour.
 
     Repeats of a value at most an hour apart form one stretch: it counts from its first
     row until an hour after its last. Repeats inside a minute are reduced before ordering.
     """
+    at = micros(F.col("timestamp"))
+    named = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), F.col(column).alias("value"))
+            for kind, column in ((MERCHANT, "merchant"), (COUNTRY, "country"))
+        ]
+    )
     per_minute = (
-        events.filter(F.col(column).isNotNull())
-        .groupBy("user_id", column, bucket(F.col("at"), MINUTE).alias("minute"))
+        tx.select("user_id", at.alias("at"), F.inline(named))
+        .filter("value IS NOT NULL")
+        .groupBy("user_id", "kind", "value", bucket(F.col("at"), MINUTE).alias("minute"))
         .agg(F.min("at").alias("first"), F.max("at").alias("last"))
     )
-    order = Window.partitionBy("user_id", column).orderBy("minute")
+    order = Window.partitionBy("user_id", "kind", "value").orderBy("minute")
     gaps = per_minute.select(
         "user_id",
+        "kind",
         "first",
         "last",
         F.coalesce(F.col("first") - F.lag("last").over(order) > HOUR, F.lit(True)).alias("begins"),
         F.coalesce(F.lead("first").over(order) - F.col("last") > HOUR, F.lit(True)).alias("ends"),
     )
-    one = F.lit(1).cast("bigint")
-    begin = F.when(F.col("begins"), F.struct(
-        F.col("first").alias("at"), F.lit(0).alias("rank"), one.alias(out)))
-    finish = F.when(F.col("ends"), F.struct(
-        (F.col("last") + HOUR).alias("at"), F.lit(1).alias("rank"), (-one).alias(out)))
+
+    def mark(at, rank: int, sign: int):
+        counted = [
+            F.when(F.col("kind") == kind, F.lit(sign)).otherwise(0).cast("bigint").alias(out)
+            for kind, out in ((MERCHANT, "merchants"), (COUNTRY, "countries"))
+        ]
+        return F.struct(at.alias("at"), F.lit(rank).alias("rank"), *counted)
+
+    begin = F.when(F.col("begins"), mark(F.col("first"), 0, 1))
+    finish = F.when(F.col("ends"), mark(F.col("last") + HOUR, 1, -1))
     return gaps.select("user_id", F.inline(F.array_compact(F.array(begin, finish))))
 
 
@@ -263,8 +292,9 @@ def rolling_hour(tx: DataFrame) -> DataFrame:
     of the current minute so far, the 59 whole minutes before it, and the rows of the
     minute one hour earlier that have not left yet.
     """
-    events = tx.select("transaction_id", "user_id", micros(F.col("timestamp")).alias("at"),
-                       "amount", "merchant", "country")
+    events = tx.select(
+        "transaction_id", "user_id", micros(F.col("timestamp")).alias("at"), "amount"
+    )
     one = F.lit(1).cast("bigint")
     known = F.col("amount").isNotNull().cast("bigint")
     spend = F.coalesce(money.cents(F.col("amount")), F.lit(0))
@@ -288,9 +318,9 @@ def rolling_hour(tx: DataFrame) -> DataFrame:
             )
         ),
     ).withColumn("is_row", F.col("rank") == 0)
-    for column, out in (("merchant", "merchants"), ("country", "countries")):
-        marks = marks.unionByName(_presence(events, column, out), allowMissingColumns=True)
-    marks = marks.withColumn("bucket", bucket(F.col("at"), MINUTE))
+    marks = marks.unionByName(_presence(tx), allowMissingColumns=True).withColumn(
+        "bucket", bucket(F.col("at"), MINUTE)
+    )
 
     sums = ["n", "known", "spend", "merchants", "countries"]
     minutes = marks.groupBy("user_id", "bucket").agg(

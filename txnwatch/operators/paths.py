@@ -18,6 +18,7 @@ from txnwatch.functions.timing import HOUR, bucket, micros
 from txnwatch.operators.keyed import lookup, top
 from txnwatch.operators.timeline import running_sums
 from txnwatch.schemas import LAYERING_MIN_AMOUNT
+from txnwatch.session import written
 
 WIDE = "decimal(38,0)"
 _FIELDS = ("id", "src", "dst", "amount", "at", "currency")
@@ -47,49 +48,74 @@ def _first_hops(edges: DataFrame) -> DataFrame:
 
 
 def _gathered(
-    weighted: DataFrame, asking: DataFrame, given_at: str, asked_at: str, sign: int,
-    sums: list[str], sum_type: str,
-) -> DataFrame:
-    """For each asking edge: sums of the weighted edges at the shared account, strictly
-    earlier (sign 1) or later (sign -1) than the asking edge."""
-    giving = weighted.select(
-        F.col(given_at).alias("account"),
+    line: DataFrame, sums: list[str], sum_type: str
+) -> DataFrame:
+    """Asking rows (rank 0) with the sums of the giving rows (rank 1) of their account that
+    lie strictly before them on the line."""
+    summed = running_sums(line, "account", sums, HOUR, sum_type)
+    return summed.filter((F.col("rank") == 0) & (F.col(sums[0]) > 0)).select("edge.*", *sums)
+
+
+def _giving(end: str, sign: int, sums: dict[str, Column]) -> list[Column]:
+    return [
+        F.col(end).alias("account"),
         (F.col("at") * sign).alias("at"),
         F.lit(1).alias("rank"),
-        *sums,
-    )
-    wanted = asking.select(
-        F.col(asked_at).alias("account"),
+        *[c.alias(name) for name, c in sums.items()],
+    ]
+
+
+def _asking(end: str, sign: int, sums: list[str], sum_type: str, kept: tuple[str, ...]):
+    return [
+        F.col(end).alias("account"),
         (F.col("at") * sign).alias("at"),
         F.lit(0).alias("rank"),
-        *[F.lit(0).cast(sum_type).alias(c) for c in sums],
-        F.struct(*_FIELDS).alias("edge"),
-    )
-    line = wanted.unionByName(giving, allowMissingColumns=True)
-    summed = running_sums(line, "account", sums, HOUR, sum_type)
-    return summed.filter(F.col("rank") == 0).select("edge.*", *sums).filter(F.col(sums[0]) > 0)
+        *[F.lit(0).cast(sum_type).alias(name) for name in sums],
+        F.struct(*kept).alias("edge"),
+    ]
+
+
+def _both_roles(edges: DataFrame, giving: list[Column], gives: Column, asking: list[Column],
+                kept: tuple[str, ...]) -> DataFrame:
+    """Each edge as an asking row and, where ``gives`` holds, as a giving row: one scan."""
+    nothing = F.when(F.lit(False), F.struct(*kept)).alias("edge")
+    roles = F.array(F.struct(*asking), F.when(gives, F.struct(*giving, nothing)))
+    return edges.select(F.inline(F.array_compact(roles)))
 
 
 def chains_per_first_hop(transfers: DataFrame) -> DataFrame:
     """First-hop edges that start at least one layering chain, with their number of chains."""
     edges = _edges(transfers)
-    each = edges.withColumn("chains", F.lit(1).cast("bigint"))
-    second = _gathered(each, edges, "src", "dst", -1, ["chains"], "bigint")
-    weighted = second.withColumn("chains", F.col("chains").cast(WIDE))
-    return _gathered(weighted, _first_hops(edges), "src", "dst", -1, ["chains"], WIDE)
+    sums, end = ["chains"], ("src", "at")
+    one = F.lit(1).cast("bigint")
+    later = _both_roles(
+        edges, _giving("src", -1, {"chains": one}), F.lit(True),
+        _asking("dst", -1, sums, "bigint", end), end,
+    )
+    second = _gathered(later, sums, "bigint")
+    wide = {"chains": F.col("chains").cast(WIDE)}
+    line = _first_hops(edges).select(*_asking("dst", -1, sums, WIDE, _FIELDS)).unionByName(
+        second.select(*_giving("src", -1, wide)), allowMissingColumns=True
+    )
+    return _gathered(line, sums, WIDE)
 
 
 def chains_per_last_hop(transfers: DataFrame) -> DataFrame:
     """Last-hop edges that end at least one layering chain, with the number of chains and
     the sum of their first amounts in cents."""
     edges = _edges(transfers)
-    sums = ["chains", "first_cents"]
-    first = _first_hops(edges).withColumns(
-        {"chains": F.lit(1).cast("bigint"), "first_cents": cents(F.col("amount"))}
+    sums, end = ["chains", "first_cents"], ("dst", "at")
+    values = {"chains": F.lit(1).cast("bigint"), "first_cents": cents(F.col("amount"))}
+    earlier = _both_roles(
+        edges, _giving("dst", 1, values), F.col("amount") > LAYERING_MIN_AMOUNT,
+        _asking("src", 1, sums, "bigint", end), end,
+    )
+    second = _gathered(earlier, sums, "bigint")
+    wide = {c: F.col(c).cast(WIDE) for c in sums}
+    line = edges.select(*_asking("src", 1, sums, WIDE, ("dst",))).unionByName(
+        second.select(*_giving("dst", 1, wide)), allowMissingColumns=True
     )
-    second = _gathered(first, edges, "dst", "src", 1, sums, "bigint")
-    weighted = second.withColumns({c: F.col(c).cast(WIDE) for c in sums})
-    return _gathered(weighted, edges, "dst", "src", 1, sums, WIDE)
+    return _gathered(line, sums, WIDE)
 
 
 def _as_money(total_cents: Column) -> Column:
@@ -258,24 +284,44 @@ def _closed_walks(pairs: DataFrame) -> DataFrame:
     return walks.select(F.inline(triples)).distinct()
 
 
-def _timed_walks(edges: DataFrame) -> DataFrame:
-    """Closed walks with a middle transfer that fits between a first and a last one:
-    one row per such middle transfer."""
+def _inner_pairs(edges: DataFrame) -> DataFrame:
+    """Account pairs whose both ends send and receive; only these can lie on a cycle.
+
+    Read several times below, and far smaller than the edges, so it is written once.
+    """
     pairs = _account_pairs(edges)
-    senders = pairs.select(F.col("src").alias("account")).distinct()
-    receivers = pairs.select(F.col("dst").alias("account")).distinct()
-    both = senders.join(receivers, "account", "left_semi")
-    inner = pairs.join(both.withColumnRenamed("account", "src"), "src", "left_semi").join(
-        both.withColumnRenamed("account", "dst"), "dst", "left_semi"
+    roles = F.array(
+        F.struct(F.col("src").alias("account"), F.lit(True).alias("sends")),
+        F.struct(F.col("dst").alias("account"), F.lit(False).alias("sends")),
+    )
+    both = (
+        edges.select(F.inline(roles))
+        .groupBy("account")
+        .agg(F.bool_or("sends").alias("sends"), F.bool_and("sends").alias("only_sends"))
+        .filter("sends AND NOT only_sends")
     )
+    inner = pairs.join(both.select(F.col("account").alias("src")), "src", "left_semi").join(
+        both.select(F.col("account").alias("dst")), "dst", "left_semi"
+    )
+    return written(inner, "account_pairs")
+
+
+def _timed_walks(edges: DataFrame) -> DataFrame:
+    """Closed walks (a, b, c) with the first time on a -> b and the last time on c -> a."""
+    inner = _inner_pairs(edges)
     opening = inner.select(F.col("src").alias("a"), F.col("dst").alias("b"), "first_at")
     closing = inner.select(F.col("src").alias("c"), F.col("dst").alias("a"), "last_at")
-    walks = (
-        _closed_walks(inner.select("src", "dst"))
+    return (
+        _closed_walks(inner)
         .join(opening, ["a", "b"])
         .join(closing, ["c", "a"])
         .filter("first_at < last_at")
     )
+
+
+def _middle(edges: DataFrame, walks: DataFrame) -> DataFrame:
+    """Transfers b -> c that fit between a first and a last transfer of a walk: every one
+    is part of a cycle."""
     return _named(edges, 2).join(
         walks,
         (F.col("src2") == F.col("b"))
@@ -316,7 +362,7 @@ def circular_transfers(transfers: DataFrame) -> DataFrame:
     only along those, and only where a full cycle exists.
     """
     edges = _edges(transfers)
-    return _closed(_timed_walks(edges), edges)
+    return _closed(_middle(edges, _timed_walks(edges)), edges)
 
 
 def circular_top(transfers: DataFrame, k: int = 3) -> DataFrame:
@@ -327,20 +373,21 @@ def circular_top(transfers: DataFrame, k: int = 3) -> DataFrame:
     sides hold at most ``k``, ``k ** 2`` and ``k ** 3`` rows.
     """
     edges = _edges(transfers)
-    middle = _timed_walks(edges)
-    names = ["a", "b", "c"]
-    walks = middle.groupBy(*names).agg(F.max("at2").alias("latest_at2"))
-    walks = top(walks, k, *[F.col(c) for c in names]).select(*names, "latest_at2")
+    names, times = ["a", "b", "c"], ["first_at", "last_at"]
+    middle = _middle(edges, _timed_walks(edges))
+    walks = middle.groupBy(*names, *times).agg(F.max("at2").alias("latest"))
+    walks = F.broadcast(top(walks, k, *[F.col(c) for c in names]))
     first = _named(edges, 1).join(
-        F.broadcast(walks),
+        walks,
         (F.col("src1") == F.col("a")) & (F.col("dst1") == F.col("b"))
-        & (F.col("at1") < F.col("latest_at2")),
+        & (F.col("at1") < F.col("latest")),
     )
     first = _first_ids(first, names, "id1", k)
-    chosen = middle.select(*names, "last_at", *[f"{c}2" for c in _FIELDS])
-    second = chosen.join(
-        F.broadcast(first.select(*names, *[f"{c}1" for c in _FIELDS])), names
-    ).filter("at1 < at2")
+    second = _named(edges, 2).join(
+        F.broadcast(first),
+        (F.col("src2") == F.col("b")) & (F.col("dst2") == F.col("c"))
+        & (F.col("at2") > F.col("at1")) & (F.col("at2") < F.col("last_at")),
+    )
     second = _first_ids(second, [*names, "id1"], "id2", k)
     third = _named(edges, 3).join(
         F.broadcast(second),

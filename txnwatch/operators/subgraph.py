@@ -115,21 +115,15 @@ def first_seen_nodes(found: DataFrame) -> DataFrame:
 def subgraph_nodes(found: DataFrame, accounts: DataFrame) -> DataFrame:
     """Node id and group: the risk level of entities, the account type of accounts.
 
-    An account that sends and receives belongs to the sender group. Only the nodes listed
-    here are looked up in the account table.
+    An account that sends and receives belongs to the sender group.
     """
-    nodes = first_seen_nodes(found)
     types = (
-        accounts.join(
-            F.broadcast(nodes.select(F.col("id").alias("account_id"))), "account_id", "left_semi"
-        )
-        .groupBy("account_id")
+        accounts.groupBy(F.col("account_id").alias("id"))
         .agg(F.max(F.col("account_type") == SENDER_TYPE).alias("sends"))
-        .select(
-            F.col("account_id").alias("id"),
-            F.when(F.col("sends"), SENDER_TYPE).otherwise(RECEIVER_TYPE).alias("account_type"),
-        )
-    )
+        .select("id", F.when(F.col("sends"), SENDER_TYPE).otherwise(RECEIVER_TYPE)
+                .alias("account_type"))
+    )
+    nodes = first_seen_nodes(found)
     group = F.coalesce("level", "account_type", F.lit("Unknown")).alias("group")
     return nodes.join(types, "id", "left").select("id", group)
 

@@ -68,8 +68,7 @@ def multi_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = transactions(spark, sf_dir)
-    return scoring.user_features(feat.baseline(tx, AS_OF), feat.intraday_features(tx, TODAY))
+    return feat.hybrid_features(transactions(spark, sf_dir), AS_OF, TODAY)
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,13 @@ def local_rows(spark: SparkSession, rows, schema: str) -> DataFrame:
     arrow_schema = to_arrow_schema(T._parse_datatype_string(schema))
     arrays = [pa.array(c, t.type) for c, t in zip(columns, arrow_schema)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow_schema))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Store an intermediate result that is read several times, and read it back.
+
+    It is written to the shared folder, so a lost executor does not lose it.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.functions import money, rules
-from txnwatch.functions.money import cents, dollars
+from txnwatch.functions import money
+from txnwatch.functions.money import dollars
+from txnwatch.functions.parts import COUNTRY, MERCHANT, USED, part_sums, transaction_parts
 from txnwatch.operators.reports import stateless_alerts
 from txnwatch.operators.scoring import score
 
@@ -32,39 +33,21 @@ def sliding_features_stream(tx: DataFrame, size: int, delay: str = NO_DELAY) ->
     Kind 0 carries the amounts; kinds 1 and 2 carry one row per merchant and country, so
     distinct counts are exact and no state row holds a set.
     """
-    amount = F.col("amount")
-
-    def part(kind: int, value, first: bool):
-        zero = F.lit(0).cast("bigint")
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            value.cast("string").alias("value"),
-            (F.lit(1).cast("bigint") if first else zero).alias("n"),
-            (cents(amount) if first else zero).alias("spend"),
-            (rules.near_threshold().cast("bigint") if first else zero).alias("near"),
-            (amount if first else F.lit(None).cast("double")).alias("peak"),
-        )
-
-    none = F.lit(None).cast("string")
-    parts = F.array(
-        part(0, none, True), part(1, F.col("merchant"), False), part(2, F.col("country"), False)
-    )
-    summed = [*[F.sum(c).alias(c) for c in ("n", "spend", "near")], F.max("peak").alias("peak")]
     rows = (
         timed(tx, delay)
-        .select("timestamp", "user_id", F.inline(parts))
-        .filter("kind = 0 OR value IS NOT NULL")
+        .select("timestamp", "user_id", F.inline(transaction_parts()))
+        .filter(USED)
     )
-    panes = rows.groupBy(F.window("timestamp", "1 minute"), "user_id", "kind", "value").agg(*summed)
+    panes = rows.groupBy(F.window("timestamp", "1 minute"), "user_id", "kind", "value").agg(*part_sums())
     spans = F.window(F.window_time("window"), f"{size} minutes", "1 minute")
-    windows = panes.groupBy(spans, "user_id", "kind", "value").agg(*summed)
-    total = dollars(F.col("spend"))
+    windows = panes.groupBy(spans, "user_id", "kind", "value").agg(*part_sums())
+    total = F.when(F.col("known") > 0, dollars(F.col("spend")))
     return (
         windows.groupBy("window", "user_id")
         .agg(
-            *summed,
-            F.count_if(F.col("kind") == 1).alias("merchants"),
-            F.count_if(F.col("kind") == 2).alias("countries"),
+            *part_sums(),
+            F.count_if(F.col("kind") == MERCHANT).alias("merchants"),
+            F.count_if(F.col("kind") == COUNTRY).alias("countries"),
         )
         .select(
             "user_id",
@@ -72,7 +55,7 @@ def sliding_features_stream(tx: DataFrame, size: int, delay: str = NO_DELAY) ->
             F.col("window.end").alias("window_end"),
             F.col("n").alias("tx_count"),
             total.alias("total_spend"),
-            (total / F.col("n")).alias("avg_amount"),
+            (total / F.nullif("known", F.lit(0))).alias("avg_amount"),
             F.col("peak").alias("max_amount"),
             F.col("near").alias("near_threshold_count"),
             F.col("merchants").alias("distinct_merchants"),

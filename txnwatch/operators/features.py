@@ -284,14 +284,19 @@ def _presence(tx: DataFrame) -> DataFrame:
     return gaps.select("user_id", F.inline(F.array_compact(F.array(begin, finish))))
 
 
-def rolling_hour(tx: DataFrame) -> DataFrame:
+def rolling_hour(tx: DataFrame, width: int = 1) -> DataFrame:
     """For every transaction: the user's statistics over the hour up to and including it.
 
     A row enters at its own time and leaves one hour later, so count, sum and distinct
-    counts are running sums over such marks. The highest amount needs three parts: rows
-    of the current minute so far, the 59 whole minutes before it, and the rows of the
-    minute one hour earlier that have not left yet.
+    counts are running sums over such marks. The marks are grouped by user and ``width``
+    minutes (a divisor of 60); a group starts from the sums of the groups before it. The
+    highest amount needs three parts: rows of the current group so far, the whole groups
+    of the hour before it, and the rows of the group one hour earlier that have not left
+    yet.
     """
+    if 60 % width:
+        raise ValueError("width must divide 60")
+    step = width * MINUTE
     events = tx.select(
         "transaction_id", "user_id", micros(F.col("timestamp")).alias("at"), "amount"
     )
@@ -319,22 +324,22 @@ def rolling_hour(tx: DataFrame) -> DataFrame:
         ),
     ).withColumn("is_row", F.col("rank") == 0)
     marks = marks.unionByName(_presence(tx), allowMissingColumns=True).withColumn(
-        "bucket", bucket(F.col("at"), MINUTE)
+        "bucket", bucket(F.col("at"), step)
     )
 
     sums = ["n", "known", "spend", "merchants", "countries"]
-    minutes = marks.groupBy("user_id", "bucket").agg(
+    groups = marks.groupBy("user_id", "bucket").agg(
         *[F.sum(c).alias(c) for c in sums], F.max("entering").alias("entering")
     )
     line = Window.partitionBy("user_id").orderBy("bucket")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
-    opening = minutes.select(
+    opening = groups.select(
         "user_id",
         "bucket",
-        (F.col("bucket") * F.lit(MINUTE)).alias("at"),
+        (F.col("bucket") * F.lit(step)).alias("at"),
         F.lit(OPENING_RANK).alias("rank"),
         *[F.sum(c).over(before).alias(c) for c in sums],
-        F.max("entering").over(line.rangeBetween(-59, -1)).alias("entering"),
+        F.max("entering").over(line.rangeBetween(1 - 60 // width, -1)).alias("entering"),
     )
     group = Window.partitionBy("user_id", "bucket")
     so_far = group.orderBy("at", "rank")

@@ -27,6 +27,7 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "2",
             "spark.default.parallelism": "2",
+            "spark.sql.adaptive.enabled": "false",
             # compiling generated code takes longer than running it on a few rows
             "spark.sql.codegen.wholeStage": "false",
             "spark.ui.enabled": "false",

@@ -33,7 +33,7 @@ from txnwatch.functions.timing import (
     minute_of,
     type_of,
 )
-from txnwatch.operators.keyed import latest_per_key, lookup
+from txnwatch.operators.keyed import lookup
 from txnwatch.operators.timeline import OPENING_RANK
 from txnwatch.schemas import BASELINE_DAYS
 
@@ -116,9 +116,20 @@ def sliding_features(tx: DataFrame, size: int) -> DataFrame:
 
 
 def latest_windows(features: DataFrame, as_of: AsOf) -> DataFrame:
-    """Newest closed window per user from a table of sliding features."""
+    """Newest closed window per user from a table of sliding features.
+
+    A user has one row per window end. All columns have a fixed width, so this is a hash
+    aggregation that keeps one row per user before the shuffle.
+    """
     closed = F.col("window_end") <= instant(as_of, type_of(features, "window_end"))
-    return latest_per_key(features.filter(closed), ["user_id"], ["window_end"])
+    rest = [c for c in features.columns if c not in ("user_id", "window_end")]
+    return (
+        features.filter(closed)
+        .groupBy("user_id")
+        .agg(F.max("window_end").alias("newest"), *[F.max_by(c, "window_end").alias(c) for c in rest])
+        .withColumnRenamed("newest", "window_end")
+        .select(*features.columns)
+    )
 
 
 def latest_sliding_features(tx: DataFrame, size: int, as_of: dt.datetime) -> DataFrame:

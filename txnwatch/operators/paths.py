@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.functions.money import cents, dollars
-from txnwatch.functions.timing import HOUR, bucket, micros
+from txnwatch.functions.timing import MINUTE, bucket, micros
 from txnwatch.operators.keyed import lookup, top
 from txnwatch.operators.timeline import running_sums
 from txnwatch.schemas import LAYERING_MIN_AMOUNT
@@ -47,12 +47,10 @@ def _first_hops(edges: DataFrame) -> DataFrame:
 # Counting -------------------------------------------------------------------------------
 
 
-def _gathered(
-    line: DataFrame, sums: list[str], sum_type: str
-) -> DataFrame:
+def _gathered(line: DataFrame, sums: list[str], sum_type: str) -> DataFrame:
     """Asking rows (rank 0) with the sums of the giving rows (rank 1) of their account that
     lie strictly before them on the line."""
-    summed = running_sums(line, "account", sums, HOUR, sum_type)
+    summed = running_sums(line, "account", sums, MINUTE, sum_type)
     return summed.filter((F.col("rank") == 0) & (F.col(sums[0]) > 0)).select("edge.*", *sums)
 
 

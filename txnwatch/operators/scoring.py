@@ -29,7 +29,7 @@ def with_features(rows: DataFrame, features: DataFrame, spread: str | None = Non
     """Left lookup of the four features by user; users without features get zeros.
 
     ``spread`` names a column that differs between rows, to deal hot users over tasks.
-    Streaming rows and short lists are joined as they are.
+    Short lists are joined as they are.
     """
     kept = features.select("user_id", *FEATURES)
     joined = (
@@ -38,15 +38,15 @@ def with_features(rows: DataFrame, features: DataFrame, spread: str | None = Non
     return joined.withColumns(fill_zero(FEATURES))
 
 
-def score(tx: DataFrame, features: DataFrame, spread: str | None = "transaction_id") -> DataFrame:
+def score(tx: DataFrame, features: DataFrame) -> DataFrame:
     """Score each transaction against its user's combined history.
 
     An alert needs an amount above twice the average that includes it, and above 500.
     Rows without an amount get neither average nor alert. Works on batch and streaming
-    frames (``spread=None`` for the latter).
+    frames.
     """
     columns = [c for c in ("transaction_id", "user_id", "amount", "timestamp") if c in tx.columns]
-    joined = with_features(tx.select(*columns), features, spread)
+    joined = with_features(tx.select(*columns), features, "transaction_id")
     amount = F.col("amount")
     spend = F.col("baseline_total_spend") + F.col("intraday_total_spend")
     count = F.col("baseline_tx_count") + F.col("intraday_tx_count")

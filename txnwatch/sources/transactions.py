@@ -52,9 +52,9 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     Bad JSON gives NULL columns instead of an error. Rows without ids or amount are
     marked, because the feature path cannot use them.
     """
-    parsed = messages.select(
-        F.from_json(F.col("value").cast("string"), _nullable()).alias("row")
-    ).select("row.*")
+    row = F.from_json(F.col("value").cast("string"), _nullable())
+    # inline() keeps later filters and projections from parsing the text again per column
+    parsed = messages.select(F.inline(F.array(row)))
     return parsed.withColumn("is_rejected", missing_required())
 
 

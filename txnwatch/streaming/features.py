@@ -89,5 +89,8 @@ def alerts_stream(tx: DataFrame) -> DataFrame:
 
 
 def score_stream(tx: DataFrame, features: DataFrame) -> DataFrame:
-    """Score arriving transactions against a feature table; append mode."""
-    return score(tx, features, spread=None)
+    """Score arriving transactions against a feature table; append mode.
+
+    The feature table is read again for every micro-batch, so it may be replaced meanwhile.
+    """
+    return score(tx, features)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from txnwatch.functions.money import cents, dollars
 from txnwatch.functions.timing import MINUTE, bucket, micros
 from txnwatch.operators.keyed import lookup, top
-from txnwatch.operators.timeline import running_sums
+from txnwatch.operators.timeline import running_max, running_sums
 from txnwatch.schemas import LAYERING_MIN_AMOUNT
 from txnwatch.session import written
 
@@ -305,16 +305,37 @@ def _inner_pairs(edges: DataFrame) -> DataFrame:
 
 
 def _timed_walks(edges: DataFrame) -> DataFrame:
-    """Closed walks (a, b, c) with the first time on a -> b and the last time on c -> a."""
+    """Closed walks (a, b, c) that hold at least one cycle in time order.
+
+    With the first time on a -> b, the last time on c -> a, and the latest time on b -> c
+    before that last time. A cycle exists if that latest time follows the first one. The
+    latest time is looked up on the pair's time line, without joining walks to transfers.
+    """
     inner = _inner_pairs(edges)
     opening = inner.select(F.col("src").alias("a"), F.col("dst").alias("b"), "first_at")
     closing = inner.select(F.col("src").alias("c"), F.col("dst").alias("a"), "last_at")
-    return (
+    walks = (
         _closed_walks(inner)
         .join(opening, ["a", "b"])
         .join(closing, ["c", "a"])
         .filter("first_at < last_at")
     )
+    asking = walks.select(
+        F.struct("b", "c").alias("pair"),
+        F.col("last_at").alias("at"),
+        F.lit(0).alias("rank"),
+        F.lit(None).cast("bigint").alias("latest"),
+        F.struct("a", "b", "c", "first_at", "last_at").alias("walk"),
+    )
+    given = edges.select(
+        F.struct(F.col("src").alias("b"), F.col("dst").alias("c")).alias("pair"),
+        "at",
+        F.lit(1).alias("rank"),
+        F.col("at").alias("latest"),
+    )
+    line = asking.unionByName(given, allowMissingColumns=True)
+    timed = running_max(line, "pair", "latest", MINUTE).filter(F.col("rank") == 0)
+    return timed.select("walk.*", "latest").filter("latest > first_at")
 
 
 def _middle(edges: DataFrame, walks: DataFrame) -> DataFrame:
@@ -371,10 +392,8 @@ def circular_top(transfers: DataFrame, k: int = 3) -> DataFrame:
     sides hold at most ``k``, ``k ** 2`` and ``k ** 3`` rows.
     """
     edges = _edges(transfers)
-    names, times = ["a", "b", "c"], ["first_at", "last_at"]
-    middle = _middle(edges, _timed_walks(edges))
-    walks = middle.groupBy(*names, *times).agg(F.max("at2").alias("latest"))
-    walks = F.broadcast(top(walks, k, *[F.col(c) for c in names]))
+    names = ["a", "b", "c"]
+    walks = F.broadcast(top(_timed_walks(edges), k, *[F.col(c) for c in names]))
     first = _named(edges, 1).join(
         walks,
         (F.col("src1") == F.col("a")) & (F.col("dst1") == F.col("b"))

@@ -51,3 +51,27 @@ def running_sums(
         .filter(F.col("rank") != OPENING_RANK)
         .select(*events.columns)
     )
+
+
+def running_max(events: DataFrame, key: str, value: str, width: int) -> DataFrame:
+    """Replace ``value`` by its highest value over the key's rows up to (at, rank).
+
+    Grouped like ``running_sums``: each bucket starts from the highest earlier value.
+    """
+    placed = events.withColumn("bucket", bucket(F.col("at"), width))
+    per_bucket = placed.groupBy(key, "bucket").agg(F.max(value).alias(value))
+    line = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    opening = per_bucket.select(
+        key,
+        "bucket",
+        (F.col("bucket") * F.lit(width)).alias("at"),
+        F.lit(OPENING_RANK).alias("rank"),
+        F.max(value).over(line).alias(value),
+    )
+    upto = Window.partitionBy(key, "bucket").orderBy("at", "rank")
+    opened = placed.unionByName(opening, allowMissingColumns=True)
+    return (
+        opened.withColumn(value, F.max(value).over(upto))
+        .filter(F.col("rank") != OPENING_RANK)
+        .select(*events.columns)
+    )

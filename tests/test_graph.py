@@ -49,7 +49,7 @@ def ids(chain):
 @pytest.fixture(scope="module")
 def planted_graph(spark):
     tx = planted.planted_transactions(
-        spark, START, planted.REFERENCE_ROWS + planted.SMURFING_ROWS
+        spark, START, planted.KNOWN_ROWS + planted.SMURFING_ROWS
     )
     return graph.TxnGraph.from_transactions(tx, planted.entities(spark), planted.ownership(spark))
 

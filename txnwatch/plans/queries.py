@@ -26,7 +26,7 @@ TODAY = dt.date(2024, 1, 30)
 # Fixture: the high-risk owner holds a merchant of the event table.
 OWNERSHIP_ROWS = (
     ("Jane_Doe", "Shell_Corp_1", "UBO_extracted_from_PDF"),
-    ("Cartel_Boss", "merchant_7", "DocAI_Parsed_SAR"),
+    ("Cartel_Boss", "merchant_7", "SAR_parsed_from_PDF"),
 )
 BAD_MESSAGES = (
     "{bad",

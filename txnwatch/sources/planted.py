@@ -34,14 +34,14 @@ ENTITIES = (
 )
 OWNERSHIP = (
     ("Jane_Doe", "Shell_Corp_1", "UBO_extracted_from_PDF"),
-    ("Cartel_Boss", "Shady_Shell_Corp", "DocAI_Parsed_SAR"),
+    ("Cartel_Boss", "Shady_Shell_Corp", "SAR_parsed_from_PDF"),
 )
 
-REFERENCE_ROWS = LAYERING_ROWS + CIRCULAR_ROWS + OWNER_ROWS
+KNOWN_ROWS = LAYERING_ROWS + CIRCULAR_ROWS + OWNER_ROWS
 
 
 def planted_transactions(
-    spark: SparkSession, start: dt.datetime, rows=REFERENCE_ROWS, dtype: str = "timestamp_ntz"
+    spark: SparkSession, start: dt.datetime, rows=KNOWN_ROWS, dtype: str = "timestamp_ntz"
 ) -> DataFrame:
     values = [
         (i, sender, amount, (start + dt.timedelta(minutes=m)).isoformat(sep=" "), to, category)

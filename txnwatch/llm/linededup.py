@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.llm.tables import kept
+from txnwatch.llm.tables import fresh, kept
 
 MAX_RATIO, MIN_PAGES = 0.1, 3
 #: Hashes that may be broadcast (8 bytes each).
@@ -80,19 +80,17 @@ def drop_boilerplate(
     )
     found = kept(found, "boilerplate")
     n = found.agg(F.sum(F.size("hashes") + 8)).first()[0] or 0
-    hosts = found.select(F.col("host").alias("_host"), F.col("hashes").alias("_hashes"))
+    their, hashes, cut = (fresh(name, docs) for name in ("_host", "_hashes", "_cut"))
+    hosts = found.select(F.col("host").alias(their), F.col("hashes").alias(hashes))
     if n <= MAX_BROADCAST:
         hosts = F.broadcast(hosts)
-    joined = docs.join(hosts, docs[host].eqNullSafe(hosts["_host"]), "left")
-    split = lines(docs["text"])
-    stay = F.filter(split, lambda x: _blank(x) | ~F.array_contains(hosts["_hashes"], line_key(x)))
-    lost = F.coalesce(F.size(split) - F.size(stay), F.lit(0))
-    marked = joined.select(
-        *(docs[f"`{c}`"].alias(c) for c in docs.columns),
-        F.struct(lost.cast("long").alias("lost"), F.array_join(stay, "\n").alias("text")).alias("_cut"),
-        hosts["_hashes"].isNotNull().alias("_any"),
-    )
-    lost = F.when(F.col("_any") & F.col("text").isNotNull(), F.col("_cut.lost")).otherwise(0)
-    text = F.when(lost > 0, F.col("_cut.text")).otherwise(F.col("text"))
+    joined = docs.join(hosts, F.col(f"`{host}`").eqNullSafe(F.col(their)), "left")
+    split = lines(F.col("text"))
+    stay = F.filter(split, lambda x: _blank(x) | ~F.array_contains(F.col(hashes), line_key(x)))
+    found_any = F.col(hashes).isNotNull() & F.col("text").isNotNull()
+    both = F.struct((F.size(split) - F.size(stay)).cast("long").alias("lost"), F.array_join(stay, "\n").alias("text"))
+    marked = joined.withColumn(cut, F.when(found_any, both))
+    lost = F.coalesce(F.col(f"{cut}.lost"), F.lit(0))
+    text = F.when(lost > 0, F.col(f"{cut}.text")).otherwise(F.col("text"))
     out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return marked.select(*out, *([lost.cast("long").alias(counted)] if counted else []))
+    return marked.select(*out, *([lost.alias(counted)] if counted else []))

@@ -7,12 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm import decontamination, linededup, mixing, simhash, toxicity
-from txnwatch.llm.tables import table
+from txnwatch.llm import (
+    backoff,
+    decontamination,
+    linededup,
+    mixing,
+    pq,
+    secrets,
+    simhash,
+    tokencounts,
+    toxicity,
+    warc,
+)
+from txnwatch.llm.tables import kept, table
+from txnwatch.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: A public vocabulary in tiktoken's form; override to count with another.
+VOCABULARY, VERSION = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", "byte_bpe_multi_50k"
+
+
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram stupid-backoff score of every document against the counts of all others."""
+    return backoff.scores(table(spark, sf_dir, "documents"), order=2)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Totals after four batches: all documents enter; those labelled of low quality leave;
+    labelled toxic ones are revised to be counted as source "quarantine"; the second batch is
+    delivered again, without effect."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    counted = kept(
+        tokencounts.count_tokens(docs, tokencounts.read_ranks(vocabulary), VERSION), "token-counts"
+    )
+    low = labels.where("quality = 0").select("doc_id").distinct()
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    gone = counted.join(low, "doc_id", "left_semi")
+    moved = counted.join(toxic, "doc_id", "left_semi").join(low, "doc_id", "left_anti")
+    rollup = tokencounts.Rollup(spark, shared_folder(spark, "llm-token-rollup"))
+    rollup.commit("load", tokencounts.inserts(counted))
+    rollup.commit("low-quality", tokencounts.deletes(gone))
+    rollup.commit(
+        "quarantine", tokencounts.revisions(moved, moved.withColumn("source", F.lit("quarantine")))
+    )
+    rollup.commit("low-quality", tokencounts.deletes(gone))
+    return rollup.totals()
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without lines that are on over a tenth of their source's documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -45,7 +88,33 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from WARC archives of all pages."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by pattern and by entropy."""
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op3_line_dedup, op4_mixing, op5_simhash, op6_decontamination, op7_toxicity)
+    for f in (
+        op1_stupid_backoff,
+        op2_token_counts,
+        op3_line_dedup,
+        op4_mixing,
+        op5_simhash,
+        op6_decontamination,
+        op7_toxicity,
+        op8_warc,
+        op9_product_quantisation,
+        op10_secret_scan,
+    )
 }

@@ -37,3 +37,11 @@ def checked(df: DataFrame, name: str, max_rows: int = 1_000_000) -> DataFrame:
     shuffling."""
     stored = kept(df, name)
     return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores behind it until no column of ``frames`` is called that."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -178,10 +178,10 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     chain: Sequence[tuple[str, str]] = CHAIN,
-    max_rows: int = 4_000,
+    max_rows: int = 6_000,
     folds: int = 3,
-    penalty: float = 5e-4,
-    steps: int = 100,
+    penalty: float = 2e-4,
+    steps: int = 120,
 ) -> list[Link]:
     """Fit the chain on labelled documents.
 
@@ -203,7 +203,7 @@ def train(
     return [Link(m.name, dict(zip(used.tolist(), m.words)), m.earlier, m.constant) for m in models]
 
 
-def score(docs: DataFrame, model: Sequence[Link], threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Sequence[Link], threshold: float = 0.25) -> DataFrame:
     """``docs`` with p_<category> of each category and ``rejected``: the last category's
     probability is ``threshold`` or more. Columns of ``docs`` of these names are replaced.
 

@@ -7,7 +7,7 @@ import pytest
 from conftest import START, as_dicts, at, random_rows, tx_row
 
 from txnwatch.operators import features as feat
-from txnwatch.operators.keyed import latest_per_key, lookup
+from txnwatch.operators.keyed import latest_per_key
 from txnwatch.operators.scoring import user_features
 from txnwatch.session import local_rows
 
@@ -186,12 +186,14 @@ def test_latest_per_key_breaks_ties_by_the_other_columns(spark):
     assert [tuple(r) for r in latest_per_key(df, ["k"], ["o"]).collect()] == [("a", 2, "z")]
 
 
-def test_lookup_keeps_every_row_once(spark):
-    facts = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id as string)) AS k")
-    table = spark.range(500).selectExpr("cast(id as string) AS k", "id AS v").unionAll(
-        spark.sql("SELECT 'hot' AS k, 7L AS v")
-    )
-    got = lookup(facts, table, "k", "id")
-    assert got.count() == 1000
-    assert got.filter("k = 'hot' AND v = 7").count() == 334
-    assert lookup(facts, table, "k", "id", "inner").count() == got.filter("v IS NOT NULL").count()
+def test_small_fractions_and_large_amounts_are_summed_exactly(make_tx):
+    rows = [tx_row(i, "small", 0.004, 0) for i in range(1000)]
+    rows += [tx_row(2000 + i, "minus", -0.005, 0) for i in range(3)]
+    rows += [tx_row(3000, "large", 1e13, 0), tx_row(3001, "large", 0.25, 0)]
+    rows += [tx_row(4000, "odd", float("nan"), 0), tx_row(4001, "odd", 1.5, 0)]
+    tx = make_tx(rows)
+    want = {"small": 4.0, "minus": -0.015, "large": 1e13 + 0.25, "odd": 1.5}
+    hour = {r.user_id: r.total_spend_1h for r in feat.rolling_hour(tx).collect()}
+    windows = {r.user_id: r.total_spend for r in feat.sliding_features(tx, 15).collect()}
+    days = {r.user_id: r.intraday_total_spend for r in feat.intraday_totals(tx).collect()}
+    assert hour == windows == days == want

@@ -103,7 +103,7 @@ def test_scores_equal_batch(spark, make_tx, arriving, tmp_path):
 def test_sliding_windows_equal_batch_for_closed_windows(spark, make_tx, arriving, tmp_path):
     rows = [r for r in random_rows(23, 80, users=2, span=40) if r[2] is not None]
     tx = src.accepted(arriving(in_batches(rows, 4)))
-    got = collect_stream(spark, live.sliding_features_stream(tx, 15), tmp_path)
+    got = collect_stream(spark, live.sliding_features_stream(tx, 15, "0 seconds"), tmp_path)
     batch = feat.sliding_features(make_tx(rows), 15)
     last = max(r[3] for r in rows)
     columns = batch.columns
@@ -117,7 +117,8 @@ def test_one_query_and_folder_per_window_size(spark, make_tx, arriving, tmp_path
     rows = [tx_row(i, "u", 10.0 + i, i * 10) for i in range(8)]
     tx = src.accepted(arriving(in_batches(rows, 2)))
     queries = sinks.start_sliding_features(
-        tx, str(tmp_path / "o"), str(tmp_path / "c"), trigger=sinks.WHAT_IS_THERE, sizes=(15, 30)
+        tx, str(tmp_path / "o"), str(tmp_path / "c"), trigger=sinks.WHAT_IS_THERE, sizes=(15, 30),
+        delay="0 seconds",
     )
     sinks.finish(*queries.values())
     for size in (15, 30):

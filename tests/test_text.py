@@ -91,5 +91,5 @@ def test_ideation_prompts_in_both_wordings(spark):
     for template in (W.IDEAS_STREAMING, W.IDEAS_BATCH):
         got = {r[0]: r[1] for r in text.ideation_prompts(described, template).collect()}
         assert set(got) == {"t1", "t2"}
-        assert "Table: t1\nDescription: about t1\n" in got["t1"]
-        assert "Description: N/A\n" in got["t2"]
+        assert "Table: t1\nWhat it holds: about t1\n" in got["t1"]
+        assert "What it holds: N/A\n" in got["t2"]

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from txnwatch.functions import rules
-from txnwatch.functions.money import cents
+from txnwatch.functions.money import EXACT, exact
 
 AMOUNTS, MERCHANT, COUNTRY = 0, 1, 2
 SUMS = ("n", "known", "spend", "near")
@@ -18,15 +18,16 @@ def transaction_parts() -> Column:
     country, so that grouping by (kind, value) leaves one row per distinct value.
     """
     amount = F.col("amount")
-    zero = F.lit(0).cast("bigint")
+    zero, nothing = F.lit(0).cast("bigint"), F.lit(0).cast(EXACT)
     measures = {
         "n": F.lit(1).cast("bigint"),
         "known": amount.isNotNull().cast("bigint"),
-        "spend": F.coalesce(cents(amount), zero),
+        "spend": F.coalesce(exact(amount), nothing),
         "near": F.coalesce(rules.near_threshold(amount).cast("bigint"), zero),
     }
     own = [c.alias(name) for name, c in measures.items()] + [amount.alias("peak")]
-    bare = [zero.alias(name) for name in measures] + [F.lit(None).cast("double").alias("peak")]
+    nothings = {name: nothing if name == "spend" else zero for name in measures}
+    bare = [c.alias(name) for name, c in nothings.items()] + [F.lit(None).cast("double").alias("peak")]
 
     def part(kind: int, value: Column, columns: list[Column]) -> Column:
         return F.struct(

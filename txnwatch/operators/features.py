@@ -33,7 +33,6 @@ from txnwatch.functions.timing import (
     minute_of,
     type_of,
 )
-from txnwatch.operators.keyed import lookup
 from txnwatch.operators.timeline import OPENING_RANK
 from txnwatch.schemas import BASELINE_DAYS
 
@@ -147,7 +146,7 @@ def latest_sliding_features(tx: DataFrame, size: int, as_of: dt.datetime) -> Dat
     newest = rows.groupBy("user_id").agg(
         F.least(F.max("minute"), F.lit(limit - size)).alias("start")
     )
-    inside = lookup(rows, newest, "user_id", "transaction_id", "inner").filter(
+    inside = rows.join(newest, "user_id").filter(
         (F.col("minute") >= F.col("start")) & (F.col("minute") < F.col("start") + size)
     )
     spent = money.total(F.col("amount"))
@@ -239,7 +238,7 @@ def hybrid_features(tx: DataFrame, as_of: dt.datetime, day: dt.date) -> DataFram
     )
 
     def spend(condition):
-        whole = F.sum(F.when(condition, money.cents(F.col("amount"))))
+        whole = F.sum(F.when(condition, money.exact(F.col("amount"))))
         return F.coalesce(money.dollars(whole), F.lit(0.0))
 
     return (
@@ -313,7 +312,7 @@ def rolling_hour(tx: DataFrame, width: int = 1) -> DataFrame:
     )
     one = F.lit(1).cast("bigint")
     known = F.col("amount").isNotNull().cast("bigint")
-    spend = F.coalesce(money.cents(F.col("amount")), F.lit(0))
+    spend = F.coalesce(money.exact(F.col("amount")), F.lit(0).cast(money.EXACT))
     none = F.lit(None).cast("double")
 
     def mark(at, rank, sign, entering, leaving):
@@ -388,7 +387,7 @@ def hourly_features(tx: DataFrame, as_of: AsOf, hours: int = 24) -> DataFrame:
         F.col("timestamp") >= instant(as_of, dtype) - F.expr(f"INTERVAL {hours} HOUR")
     ).select("transaction_id", "user_id", "timestamp", "amount", "merchant", "country")
     newest = recent.groupBy("user_id").agg(F.max("timestamp").alias("newest"))
-    inside = lookup(recent, newest, "user_id", "transaction_id", "inner").filter(
+    inside = recent.join(newest, "user_id").filter(
         F.col("timestamp") >= F.col("newest") - F.expr("INTERVAL 1 HOUR")
     )
     spent = money.total(F.col("amount"))

@@ -1,13 +1,10 @@
-"""Per-key helpers: newest row, top rows, and lookups that survive hot keys."""
+"""Per-key helpers: newest row and top rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
-
-
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Newest row per key by ``order`` (compared left to right, then by the other columns).
 
@@ -24,25 +21,6 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def lookup(
-    facts: DataFrame,
-    table: DataFrame,
-    key: str,
-    spread: str,
-    how: str = "left",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join many fact rows with a table that has one row per ``key``.
-
-    Rows of one key are dealt over ``salts`` groups by a hash of ``spread`` (a column that
-    differs between the rows), and the table is repeated once per group. No hint is given:
-    Spark broadcasts the table if its measured size allows, and otherwise shuffles.
-    """
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
-
-
 def fill_zero(columns: dict[str, str]) -> dict[str, Column]:
     """Missing features count as zero, in the type named for each column."""
     return {name: F.coalesce(F.col(name), F.lit(0).cast(t)) for name, t in columns.items()}

@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnwatch.functions.money import cents, dollars
+from txnwatch.functions.money import EXACT, dollars, exact
 from txnwatch.functions.timing import MINUTE, bucket, micros
-from txnwatch.operators.keyed import lookup, top
+from txnwatch.operators.keyed import top
 from txnwatch.operators.timeline import running_max, running_sums
 from txnwatch.schemas import LAYERING_MIN_AMOUNT
 from txnwatch.session import written
@@ -47,7 +47,10 @@ def _first_hops(edges: DataFrame) -> DataFrame:
 # Counting -------------------------------------------------------------------------------
 
 
-def _gathered(line: DataFrame, sums: list[str], sum_type: str) -> DataFrame:
+Types = str | dict[str, str]
+
+
+def _gathered(line: DataFrame, sums: list[str], sum_type: Types) -> DataFrame:
     """Asking rows (rank 0) with the sums of the giving rows (rank 1) of their account that
     lie strictly before them on the line."""
     summed = running_sums(line, "account", sums, MINUTE, sum_type)
@@ -63,12 +66,13 @@ def _giving(end: str, sign: int, sums: dict[str, Column]) -> list[Column]:
     ]
 
 
-def _asking(end: str, sign: int, sums: list[str], sum_type: str, kept: tuple[str, ...]):
+def _asking(end: str, sign: int, sums: list[str], sum_type: Types, kept: tuple[str, ...]):
+    types = sum_type if isinstance(sum_type, dict) else dict.fromkeys(sums, sum_type)
     return [
         F.col(end).alias("account"),
         (F.col("at") * sign).alias("at"),
         F.lit(0).alias("rank"),
-        *[F.lit(0).cast(sum_type).alias(name) for name in sums],
+        *[F.lit(0).cast(types[name]).alias(name) for name in sums],
         F.struct(*kept).alias("edge"),
     ]
 
@@ -100,33 +104,31 @@ def chains_per_first_hop(transfers: DataFrame) -> DataFrame:
 
 def chains_per_last_hop(transfers: DataFrame) -> DataFrame:
     """Last-hop edges that end at least one layering chain, with the number of chains and
-    the sum of their first amounts in cents."""
+    the sum of their first amounts."""
     edges = _edges(transfers)
-    sums, end = ["chains", "first_cents"], ("dst", "at")
-    values = {"chains": F.lit(1).cast("bigint"), "first_cents": cents(F.col("amount"))}
+    sums, end = ["chains", "first_sum"], ("dst", "at")
+    narrow = {"chains": "bigint", "first_sum": EXACT}
+    types = {"chains": WIDE, "first_sum": EXACT}
+    values = {"chains": F.lit(1).cast("bigint"), "first_sum": exact(F.col("amount"))}
     earlier = _both_roles(
         edges, _giving("dst", 1, values), F.col("amount") > LAYERING_MIN_AMOUNT,
-        _asking("src", 1, sums, "bigint", end), end,
+        _asking("src", 1, sums, narrow, end), end,
     )
-    second = _gathered(earlier, sums, "bigint")
-    wide = {c: F.col(c).cast(WIDE) for c in sums}
-    line = edges.select(*_asking("src", 1, sums, WIDE, ("dst",))).unionByName(
+    second = _gathered(earlier, sums, narrow)
+    wide = {c: F.col(c).cast(t) for c, t in types.items()}
+    line = edges.select(*_asking("src", 1, sums, types, ("dst",))).unionByName(
         second.select(*_giving("dst", 1, wide)), allowMissingColumns=True
     )
-    return _gathered(line, sums, WIDE)
-
-
-def _as_money(total_cents: Column) -> Column:
-    return dollars(total_cents.cast("double"))
+    return _gathered(line, sums, types)
 
 
 def layering_sources(transfers: DataFrame) -> DataFrame:
     """Chains and summed first amounts per account that starts them."""
     hops = chains_per_first_hop(transfers)
-    weighted = (cents(F.col("amount")).cast("decimal(18,0)") * F.col("chains")).cast(WIDE)
+    weighted = (exact(F.col("amount")) * F.col("chains")).cast(EXACT)
     return hops.groupBy(F.col("src").alias("first_account")).agg(
         F.sum("chains").cast(WIDE).alias("paths"),
-        _as_money(F.sum(weighted)).alias("total_first_amount"),
+        dollars(F.sum(weighted)).alias("total_first_amount"),
     )
 
 
@@ -135,7 +137,7 @@ def layering_sinks(transfers: DataFrame) -> DataFrame:
     hops = chains_per_last_hop(transfers)
     return hops.groupBy(F.col("dst").alias("last_account")).agg(
         F.sum("chains").cast(WIDE).alias("paths"),
-        _as_money(F.sum("first_cents")).alias("total_first_amount"),
+        dollars(F.sum("first_sum")).alias("total_first_amount"),
     )
 
 
@@ -192,44 +194,34 @@ def layering_chains(transfers: DataFrame, max_gap: int | None = None) -> DataFra
         .groupBy(F.col("dst").alias("src2"))
         .agg(F.min("at").alias("first_in"))
     )
-    middle = lookup(_named(edges, 2), first_in, "src2", "id2", "inner").filter("at2 > first_in")
-    middle = lookup(middle, _last_out(edges), "dst2", "id2", "inner").filter("at2 < last_out")
+    middle = _named(edges, 2).join(first_in, "src2").filter("at2 > first_in")
+    middle = middle.join(_last_out(edges), "dst2").filter("at2 < last_out")
     begun = _follow(_named(_first_hops(edges), 1), middle, 1, max_gap)
     return _chain_columns(_follow(begun, _named(edges, 3), 2, max_gap))
 
 
-def _first_ids(df: DataFrame, group: list[str], order: str, k: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(order))
-    return df.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
-
-
 def layering_top(transfers: DataFrame, k: int = 100) -> DataFrame:
     """First ``k`` chains by first amount (descending), then by the three ids.
 
-    The chain counts say how many of the largest first transfers are needed for ``k``
-    chains. Only those are expanded, and of the transfers that follow one first transfer
-    only the ``k`` lowest ids can be in the result. The broadcast sides hold at most ``k``
-    and ``2 k`` rows.
+    No chains are counted. A transfer starts a chain if it comes before the last transfer of
+    its receiver that some transfer follows: two maximum aggregates. Each of the first ``k``
+    starts, and then each of their first ``k`` pairs in order, has a chain, so no others are
+    needed, and the broadcast sides hold at most ``k`` rows.
     """
     edges = _edges(transfers)
-    starts = top(chains_per_first_hop(transfers), k, F.desc("amount"), F.col("id"))
-    order = Window.orderBy(F.desc("amount"), "id").rowsBetween(Window.unboundedPreceding, -1)
-    needed = starts.withColumn(
-        "before", F.coalesce(F.sum("chains").over(order), F.lit(0).cast(WIDE))
-    ).filter(F.col("before") < k)
-
-    second = _named(edges, 2).join(
-        F.broadcast(_named(needed, 1)),
+    followed = _named(edges, 2).join(_last_out(edges), "dst2").filter("at2 < last_out")
+    last_start = followed.groupBy(F.col("src2").alias("dst1")).agg(F.max("at2").alias("last_start"))
+    starts = _named(_first_hops(edges), 1).join(last_start, "dst1").filter("at1 < last_start")
+    starts = top(starts.drop("last_start"), k, F.desc("amount1"), F.col("id1"))
+    pairs = followed.drop("last_out").join(
+        F.broadcast(starts),
         (F.col("src2") == F.col("dst1")) & (F.col("at2") > F.col("at1")),
     )
-    second = lookup(second, _last_out(edges), "dst2", "id2", "inner").filter("at2 < last_out")
-    second = _first_ids(second, ["id1"], "id2", k)
-
+    pairs = top(pairs, k, F.desc("amount1"), F.col("id1"), F.col("id2"))
     third = _named(edges, 3).join(
-        F.broadcast(second),
+        F.broadcast(pairs),
         (F.col("src3") == F.col("dst2")) & (F.col("at3") > F.col("at2")),
     )
-    third = _first_ids(third, ["id1", "id2"], "id3", k)
     return top(
         _chain_columns(third),
         k,
@@ -387,9 +379,9 @@ def circular_transfers(transfers: DataFrame) -> DataFrame:
 def circular_top(transfers: DataFrame, k: int = 3) -> DataFrame:
     """First ``k`` cycles by the three accounts, then by the three ids.
 
-    Every timed walk has a cycle, so only the first ``k`` walks are expanded, and of the
-    transfers on one walk only the ``k`` lowest ids of each hop in turn. The broadcast
-    sides hold at most ``k``, ``k ** 2`` and ``k ** 3`` rows.
+    Every timed walk has a cycle, and so has every walk with a fitting first, or first and
+    second, transfer. So only the first ``k`` of each in the total order are expanded, and no
+    broadcast side holds more than ``k`` rows.
     """
     edges = _edges(transfers)
     names = ["a", "b", "c"]
@@ -399,19 +391,18 @@ def circular_top(transfers: DataFrame, k: int = 3) -> DataFrame:
         (F.col("src1") == F.col("a")) & (F.col("dst1") == F.col("b"))
         & (F.col("at1") < F.col("latest")),
     )
-    first = _first_ids(first, names, "id1", k)
+    first = top(first, k, *names, "id1")
     second = _named(edges, 2).join(
         F.broadcast(first),
         (F.col("src2") == F.col("b")) & (F.col("dst2") == F.col("c"))
         & (F.col("at2") > F.col("at1")) & (F.col("at2") < F.col("last_at")),
     )
-    second = _first_ids(second, [*names, "id1"], "id2", k)
+    second = top(second, k, *names, "id1", "id2")
     third = _named(edges, 3).join(
         F.broadcast(second),
         (F.col("src3") == F.col("c")) & (F.col("dst3") == F.col("a"))
         & (F.col("at3") > F.col("at2")),
     )
-    third = _first_ids(third, [*names, "id1", "id2"], "id3", k)
     found = third.select(
         F.col("a").alias("originating_account"),
         F.col("b").alias("intermediary_1"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.functions import rules
 from txnwatch.functions.money import money_text
-from txnwatch.operators.keyed import fill_zero, lookup, top
+from txnwatch.operators.keyed import fill_zero, top
 from txnwatch.schemas import SCORE_MIN_AMOUNT, SCORE_RATIO
 
 FEATURES = {
@@ -25,16 +25,13 @@ def user_features(baseline: DataFrame, intraday: DataFrame) -> DataFrame:
     return left.join(right, "user_id", "full").withColumns(fill_zero(FEATURES))
 
 
-def with_features(rows: DataFrame, features: DataFrame, spread: str | None = None) -> DataFrame:
+def with_features(rows: DataFrame, features: DataFrame) -> DataFrame:
     """Left lookup of the four features by user; users without features get zeros.
 
-    ``spread`` names a column that differs between rows, to deal hot users over tasks.
-    Short lists are joined as they are.
+    A plain join: Spark broadcasts the features if their measured size allows, and otherwise
+    splits users with very many rows at run time.
     """
-    kept = features.select("user_id", *FEATURES)
-    joined = (
-        lookup(rows, kept, "user_id", spread) if spread else rows.join(kept, "user_id", "left")
-    )
+    joined = rows.join(features.select("user_id", *FEATURES), "user_id", "left")
     return joined.withColumns(fill_zero(FEATURES))
 
 
@@ -46,7 +43,7 @@ def score(tx: DataFrame, features: DataFrame) -> DataFrame:
     frames.
     """
     columns = [c for c in ("transaction_id", "user_id", "amount", "timestamp") if c in tx.columns]
-    joined = with_features(tx.select(*columns), features, "transaction_id")
+    joined = with_features(tx.select(*columns), features)
     amount = F.col("amount")
     spend = F.col("baseline_total_spend") + F.col("intraday_total_spend")
     count = F.col("baseline_tx_count") + F.col("intraday_tx_count")
@@ -73,7 +70,7 @@ def score(tx: DataFrame, features: DataFrame) -> DataFrame:
 
 def alert_ratio(alerts: DataFrame, features: DataFrame) -> DataFrame:
     """Alert amount against the user's average without it; 0 if there is no average."""
-    joined = with_features(alerts, features, "transaction_id")
+    joined = with_features(alerts, features)
     spend = F.col("baseline_total_spend") + F.col("intraday_total_spend")
     count = F.col("baseline_tx_count") + F.col("intraday_tx_count")
     average = F.when(count > 0, spend / F.nullif(count, F.lit(0))).otherwise(F.lit(0.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -110,25 +111,30 @@ def generate_text(
     make_model: Callable[[], Model],
     batch_size: int = 64,
     tasks: int | None = None,
+    retries: int = 2,
+    pause: float = 0.5,
     **options: Any,
 ) -> DataFrame:
     """Input columns plus text, status and safety notes for the ``prompt`` column.
 
-    ``make_model`` runs once per task. Prompts are sent in batches; a batch that fails is
-    retried prompt by prompt, and a prompt that fails gives a NULL text and the error as
-    status. ``tasks`` spreads slow model calls over that many tasks.
+    ``make_model`` runs once per task. Prompts are sent in batches. A batch that fails is sent
+    again after a pause, up to ``retries`` times; a batch of one that still fails gives a NULL
+    text and the error as status. Of a larger one the first prompt is then sent alone: if that
+    fails too, the model is taken to be down and all get its error, otherwise each is sent alone.
+    Model calls are slow, so rows are dealt over ``tasks`` tasks (default: as many as the
+    cluster runs at once), not left in the few partitions their size would suggest.
     """
     fields = [T.StructField(name, T.StringType()) for name in RESULT_FIELDS]
     schema = T.StructType([*rows.schema.fields, *fields])
-    if tasks:
-        rows = rows.repartition(tasks, *rows.columns)
+    tasks = tasks or rows.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(tasks, *rows.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for frame in batches:
             for start in range(0, len(frame), batch_size):
                 part = frame.iloc[start : start + batch_size]
-                replies = _ask(model, part["prompt"].tolist(), options)
+                replies = _ask(model, part["prompt"].tolist(), options, retries, pause)
                 yield part.assign(
                     recommendation=[r.get("text") for r in replies],
                     status=[r.get("status") for r in replies],
@@ -138,18 +144,32 @@ def generate_text(
     return rows.mapInPandas(run, schema)
 
 
-def _ask(model: Model, prompts: list, options: dict[str, Any]) -> list[dict[str, Any]]:
+def _ask(
+    model: Model, prompts: list, options: dict[str, Any], retries: int = 2, pause: float = 0.5
+) -> list[dict[str, Any]]:
     asked = [i for i, p in enumerate(prompts) if p is not None]
     replies: list[dict[str, Any]] = [{"status": "no prompt"} for _ in prompts]
-    try:
-        answers = model([prompts[i] for i in asked], **options) if asked else []
-        if len(answers) != len(asked):
-            raise ValueError(f"{len(answers)} answers for {len(asked)} prompts")
-    except Exception as error:  # noqa: BLE001 - one bad prompt must not fail the job
-        if len(asked) == 1:
-            answers = [{"status": f"error: {error}"}]
-        else:
-            answers = [_ask(model, [prompts[i]], options)[0] for i in asked]
-    for i, answer in zip(asked, answers):
+    for i, answer in zip(asked, _answers(model, [prompts[i] for i in asked], options, retries, pause)):
         replies[i] = answer
     return replies
+
+
+def _answers(
+    model: Model, prompts: list[str], options: dict[str, Any], retries: int, pause: float
+) -> list[dict[str, Any]]:
+    for attempt in range(retries + 1):
+        try:
+            answers = model(prompts, **options) if prompts else []
+            if len(answers) != len(prompts):
+                raise ValueError(f"{len(answers)} answers for {len(prompts)} prompts")
+            return answers
+        except Exception as error:  # noqa: BLE001 - one bad prompt must not fail the job
+            failed = {"status": f"error: {error}"}
+            if attempt < retries:
+                time.sleep(pause * 2**attempt)
+    if len(prompts) == 1:
+        return [failed]
+    first = _answers(model, prompts[:1], options, 0, pause)
+    if first[0].get("status") == failed["status"]:
+        return [failed] * len(prompts)
+    return first + [_answers(model, [p], options, 0, pause)[0] for p in prompts[1:]]

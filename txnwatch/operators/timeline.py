@@ -15,11 +15,17 @@ from txnwatch.functions.timing import bucket
 OPENING_RANK = -1
 
 
+def _types(sums: list[str], sum_type: str | dict[str, str]) -> dict[str, str]:
+    return sum_type if isinstance(sum_type, dict) else dict.fromkeys(sums, sum_type)
+
+
 def opening_rows(
-    events: DataFrame, key: str, sums: list[str], width: int, sum_type: str = "bigint"
+    events: DataFrame, key: str, sums: list[str], width: int,
+    sum_type: str | dict[str, str] = "bigint",
 ) -> DataFrame:
     """One row per (key, bucket): sums over all earlier buckets of that key."""
-    totals = events.groupBy(key, "bucket").agg(*[F.sum(c).cast(sum_type).alias(c) for c in sums])
+    types = _types(sums, sum_type)
+    totals = events.groupBy(key, "bucket").agg(*[F.sum(c).cast(types[c]).alias(c) for c in sums])
     earlier = (
         Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -28,18 +34,21 @@ def opening_rows(
         "bucket",
         (F.col("bucket") * F.lit(width)).alias("at"),
         F.lit(OPENING_RANK).alias("rank"),
-        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast(sum_type).alias(c) for c in sums],
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast(types[c]).alias(c) for c in sums],
     )
 
 
 def running_sums(
-    events: DataFrame, key: str, sums: list[str], width: int, sum_type: str = "bigint"
+    events: DataFrame, key: str, sums: list[str], width: int,
+    sum_type: str | dict[str, str] = "bigint",
 ) -> DataFrame:
     """Replace each column of ``sums`` by its sum over the key's rows up to (at, rank).
 
     ``events`` has the columns ``at`` (microseconds) and ``rank`` (order among equal
-    times); rows equal in both count together. Other columns pass through.
+    times); rows equal in both count together. Other columns pass through. ``sum_type`` is
+    one type for all sums or one for each.
     """
+    types = _types(sums, sum_type)
     placed = events.withColumn("bucket", bucket(F.col("at"), width))
     opened = placed.unionByName(
         opening_rows(placed, key, sums, width, sum_type), allowMissingColumns=True
@@ -47,7 +56,7 @@ def running_sums(
     upto = Window.partitionBy(key, "bucket").orderBy("at", "rank")
     passed = [c for c in events.columns if c not in sums]
     return (
-        opened.select(*passed, *[F.sum(c).over(upto).cast(sum_type).alias(c) for c in sums])
+        opened.select(*passed, *[F.sum(c).over(upto).cast(types[c]).alias(c) for c in sums])
         .filter(F.col("rank") != OPENING_RANK)
         .select(*events.columns)
     )

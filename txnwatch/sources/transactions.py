@@ -39,11 +39,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_as_transactions(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def encode_messages(tx: DataFrame) -> DataFrame:
-    """One JSON message (UTF-8 bytes) per transaction, as a message broker carries them."""
+def encode_messages(tx: DataFrame, *also: str) -> DataFrame:
+    """One JSON message (UTF-8 bytes) per transaction, as a message broker carries them, and
+    the columns ``also``."""
     when = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
     fields = [when if c == "timestamp" else F.col(c) for c in COLUMNS]
-    return tx.select(F.to_json(F.struct(*fields)).cast("binary").alias("value"))
+    return tx.select(F.to_json(F.struct(*fields)).cast("binary").alias("value"), *also)
 
 
 def decode_messages(messages: DataFrame) -> DataFrame:
@@ -78,6 +79,14 @@ def rejected(decoded: DataFrame) -> DataFrame:
     return decoded.filter("is_rejected").drop("is_rejected")
 
 
+def rejected_messages(messages: DataFrame) -> DataFrame:
+    """The text of messages that the feature path cannot use, for a sink of their own."""
+    kept = messages.withColumn("row", F.from_json(F.col("value").cast("string"), _nullable()))
+    return kept.select("row.*", F.col("value").cast("string").alias("message")).filter(
+        missing_required()
+    ).select("message")
+
+
 def landable(decoded: DataFrame) -> DataFrame:
     """Rows the raw table takes: both ids present, the amount may be missing."""
     return decoded.filter(~missing_required("transaction_id", "user_id")).drop("is_rejected")

@@ -11,17 +11,18 @@ from txnwatch.functions.parts import COUNTRY, MERCHANT, USED, part_sums, transac
 from txnwatch.operators.reports import stateless_alerts
 from txnwatch.operators.scoring import score
 
-NO_DELAY = "0 seconds"
+#: How late rows may come, by their own time, and still count: for windows and for day totals.
+DELAY, DAY_DELAY = "1 hour", "1 day"
 
 
-def timed(tx: DataFrame, delay: str = NO_DELAY) -> DataFrame:
+def timed(tx: DataFrame, delay: str = DELAY) -> DataFrame:
     """Event time from the payload; rows later than ``delay`` behind may be dropped."""
     return tx.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark(
         "timestamp", delay
     )
 
 
-def sliding_features_stream(tx: DataFrame, size: int, delay: str = NO_DELAY) -> DataFrame:
+def sliding_features_stream(tx: DataFrame, size: int, delay: str = DELAY) -> DataFrame:
     """Sliding-window statistics per user, for append mode.
 
     Three aggregations in a row, with built-in functions only:
@@ -65,7 +66,7 @@ def sliding_features_stream(tx: DataFrame, size: int, delay: str = NO_DELAY) ->
     )
 
 
-def intraday_totals_stream(tx: DataFrame, delay: str = NO_DELAY) -> DataFrame:
+def intraday_totals_stream(tx: DataFrame, delay: str = DAY_DELAY) -> DataFrame:
     """Running count and spend per user and UTC day; update mode re-emits changed days."""
     return (
         timed(tx, delay)

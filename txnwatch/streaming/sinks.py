@@ -9,7 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from txnwatch.operators.keyed import latest_per_key
 from txnwatch.schemas import WINDOW_MINUTES
-from txnwatch.streaming.features import NO_DELAY, intraday_totals_stream, sliding_features_stream
+from txnwatch.streaming.features import (
+    DAY_DELAY,
+    DELAY,
+    intraday_totals_stream,
+    sliding_features_stream,
+)
 
 EVERY_5_SECONDS = {"processingTime": "5 seconds"}
 EVERY_MINUTE = {"processingTime": "60 seconds"}
@@ -68,7 +73,7 @@ def start_sliding_features(
     tx: DataFrame,
     folder: str,
     checkpoint: str,
-    delay: str = NO_DELAY,
+    delay: str = DELAY,
     trigger: dict[str, Any] = EVERY_MINUTE,
     sizes: tuple[int, ...] = WINDOW_MINUTES,
 ) -> dict[int, StreamingQuery]:
@@ -88,12 +93,21 @@ def start_intraday(
     tx: DataFrame,
     path: str,
     checkpoint: str,
-    delay: str = NO_DELAY,
+    delay: str = DAY_DELAY,
     trigger: dict[str, Any] = EVERY_5_SECONDS,
 ) -> StreamingQuery:
     return upsert_stream(intraday_totals_stream(tx, delay), path, checkpoint, trigger)
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that came too late for a window or day, over the batches the query remembers."""
+    return sum(
+        operator.get("numRowsDroppedByWatermark", 0)
+        for progress in query.recentProgress
+        for operator in progress["stateOperators"]
+    )
+
+
 def finish(*queries: StreamingQuery) -> None:
     """Wait for queries that stop by themselves; a failure is raised here."""
     for query in queries:

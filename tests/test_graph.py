@@ -197,7 +197,7 @@ def test_findings_of_the_planted_graph(planted_graph):
     first = {r["node_id"]: r["anomaly_type"] for r in subgraph.anomaly_of_node(found).collect()}
     assert first["Circ_Eve"] == W.CIRCULAR and first["Sink_1"] == W.SMURFING
     prompt = subgraph.graph_prompt(found).collect()[0][0]
-    assert "Nodes involved: Layer_Alice, Layer_Bob" in prompt and '"source":"Circ_Grace"' in prompt
+    assert "Accounts found: Layer_Alice, Layer_Bob" in prompt and '"source":"Circ_Grace"' in prompt
 
 
 def test_nothing_found(make_tx, spark):

@@ -35,11 +35,16 @@ def test_finds_exact_and_reparameterised_items(spark, max_filter):
         filler(5),
         None,
         "",
-        QUESTION.upper(),
+        f"{filler(6)} {QUESTION.upper()} {filler(7)}",
         "12 km 13 km 14 km 15 km 16 km 17 km 18 km",
     ]
     got = found(spark, texts, [QUESTION, filler(9), None, "", "12 km"], max_filter=max_filter)
-    assert got[0] == got[1] == 0 and not {2, 3, 4, 6} & set(got)
+    assert got == {0: 0, 1: 0, 5: 0}
+
+
+def test_items_in_capitals_or_title_case_are_found(spark):
+    item = filler(1, 30)
+    assert set(found(spark, [item.upper(), item.title(), filler(2).title()], [item])) == {0, 1}
 
 
 def test_slots_must_be_consistent(spark):

@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Words are canonicalised to templates: numbers, units and names become typed placeholders, other
-words lose their case and outer punctuation. Windows of ``window`` template words are hashed and
+words lose their case and outer punctuation. A name is a capitalised word, not all in capitals, that
+does not start a sentence, in a text that does not capitalise most of its words. Windows of ``window`` template words are hashed and
 hash-joined between documents and benchmark items, so a question whose numbers or names were
 changed still meets its original. A hit counts only if the slots are consistent: within a window,
 equal benchmark values stand for equal document values and different ones for different ones.
@@ -39,7 +40,7 @@ NUMBER = re.compile(r"[$€£]?[+-]?\d+(?:[.,:/]\d+)*(?:%|[a-z€£$]{1,4})?", r
 EDGES = "\"'()[]{}<>.,;:!?…“”‘’«»*_`"
 LITERAL, NUM, UNIT, NAME = range(4)
 CHUNK = 1 << 21
-HIT = "text_key long, window_hash long, slots array<long>"
+HIT = "text_key long, window_hash long, place int, slots array<long>"
 
 
 class Words(dict):
@@ -62,7 +63,7 @@ class Words(dict):
         low = bare.lower()
         self.value[i] = xxhash.xxh64_intdigest(low.encode())
         self.kind[i] = NUM if NUMBER.fullmatch(bare) else UNIT if low in UNITS else LITERAL
-        self.capital[i] = bare[:1].isupper()
+        self.capital[i] = bare[:1].isupper() and not (bare.isupper() and len(bare) > 1)
         self.ends[i] = not bare or word.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":", "…")
         self[raw] = i
         return i
@@ -80,8 +81,11 @@ class Windows:
             self.bits = np.zeros(1 << 22, bool)
             self.bits[known >> np.uint64(42)] = True
 
-    def of(self, texts: list[bytes]) -> Iterator[tuple[int, int, list[int]]]:
-        """(number of the text, window hash, slot values with 0 for literal words)."""
+    def of(
+        self, texts: list[bytes], names: bool = True
+    ) -> Iterator[tuple[int, int, int, list[int]]]:
+        """(number of the text, window hash, its place, slot values with 0 for literal words).
+        Without ``names``, all names are literal words."""
         if len(self.words) > 1_000_000:  # memory is bounded whatever the vocabulary
             self.words = Words()
         split = [t.split() for t in texts]
@@ -92,10 +96,14 @@ class Windows:
         get = self.words.__getitem__
         ids = np.fromiter((get(w) for s in split for w in s), np.int64, n)
         owner = np.repeat(np.arange(len(texts)), sizes)
+        starts = np.cumsum(sizes) - sizes
         kind, ends = self.words.kind[ids], self.words.ends[ids]
         opens = np.ones(n, bool)
         opens[1:] = ends[:-1] | (owner[1:] != owner[:-1])
-        kind[(kind == LITERAL) & self.words.capital[ids] & ~opens] = NAME
+        capital = self.words.capital[ids]
+        # where most words are capitalised, that tells no names
+        titles = 2 * np.bincount(owner, capital, len(texts)) > np.array(sizes)
+        kind[(kind == LITERAL) & capital & ~opens & ~titles[owner] & names] = NAME
         value = self.words.value[ids]
         literal = kind == LITERAL
         template = np.where(literal, value, self.kinds[kind])
@@ -118,11 +126,13 @@ class Windows:
             at = at[owner[at] == owner[at + length - 1]]
             at = at[before[at + length] - before[at] >= MIN_LITERAL]
             for i in at:
-                yield int(owner[i]), int(sums[i]), slot[i : i + length].view(np.int64).tolist()
+                place = int(i - starts[owner[i]])
+                yield int(owner[i]), int(sums[i]), place, slot[i : i + length].view(np.int64).tolist()
 
 
 def _hits(lengths: list[int], known: np.ndarray | None, whole: bool = False):
-    """Arrow function: (key, text) to distinct windows; ``whole``: a text of fewer than WINDOW
+    """Arrow function: (key, text) to distinct windows. ``whole``, for benchmark items: with
+    their places, and again without names, for texts in capitals; an item of fewer than WINDOW
     words is one window of its own length, others have none of less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +147,22 @@ def _hits(lengths: list[int], known: np.ndarray | None, whole: bool = False):
                     held += len(chunk[-1])
                 found = set()
                 sizes = [len(t.split()) for t in chunk] if whole else None
-                for i, window, slots in windows.of(chunk):
-                    if not whole or len(slots) == min(WINDOW, sizes[i]):
-                        found.add((keys[start + i], _signed(window), tuple(slots)))
+                for names in (True, False) if whole else (True,):
+                    for i, window, place, slots in windows.of(chunk, names):
+                        if not whole or len(slots) == min(WINDOW, sizes[i]):
+                            place = place if whole else 0
+                            found.add((keys[start + i], _signed(window), place, tuple(slots)))
                 start += len(chunk)
                 if found:
-                    key, window, slots = zip(*found)
+                    key, window, place, slots = zip(*found)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(key, pa.int64()),
                             pa.array(window, pa.int64()),
+                            pa.array(place, pa.int32()),
                             pa.array(slots, pa.list_(pa.int64())),
                         ],
-                        ["text_key", "window_hash", "slots"],
+                        ["text_key", "window_hash", "place", "slots"],
                     )
 
     return run
@@ -164,14 +177,14 @@ def text_key() -> F.Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of (item_id, text): window_hash, slots, item_id, windows (of the item)."""
+    """Windows of (item_id, text): window_hash, place, slots, item_id, windows (of the item)."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary"))
     lengths = list(range(SHORTEST, WINDOW + 1))
     found = items.mapInArrow(_hits(lengths, None, whole=True), HIT).withColumnRenamed(
         "text_key", "item_id"
     )
     found = found.distinct()
-    sizes = found.groupBy("item_id").agg(F.count_distinct("window_hash").alias("windows"))
+    sizes = found.groupBy("item_id").agg(F.count_distinct("place").alias("windows"))
     joined = found.join(
         sizes.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item"))
     )
@@ -198,13 +211,13 @@ def matches(
     hits = docs.select(text_key(), F.col("text").cast("binary")).mapInArrow(
         _hits(lengths, known), HIT
     )
-    pair = hits.join(asked.withColumnRenamed("slots", "asked"), "window_hash")
+    pair = hits.drop("place").join(asked.withColumnRenamed("slots", "asked"), "window_hash")
     kinds = [F.size(F.array_distinct(x)) for x in ("slots", "asked", F.arrays_zip("slots", "asked"))]
     consistent = (F.size("slots") == F.size("asked")) & (kinds[0] == kinds[2]) & (kinds[1] == kinds[2])
     return (
         pair.where(consistent)
         .groupBy("text_key", "item_id", "windows")
-        .agg(F.count_distinct("window_hash").alias("hits"))
+        .agg(F.count_distinct("place").alias("hits"))
         .where(F.col("hits") >= F.ceil(F.col("windows") * F.lit(min_share)))
         .select("text_key", "item_id", "hits", "windows")
     )

@@ -4,12 +4,15 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from txnwatch.plans.queries import all_queries
 
-QUERIES = entry.queries()
+QUERIES = all_queries()
 BATCH = sorted(q for q in QUERIES if not q.startswith("stream_"))
 # the only Python in a task is the text model
-WITH_PYTHON = {"generate_text", "recent_recommendations", "null_audit"}
+WITH_PYTHON = {
+    "generate_text", "recent_recommendations", "null_audit",
+    "feature_ideation", "recent_ideas", "graph_inference",
+}
 
 
 def plan_of(df) -> str:
@@ -51,6 +54,9 @@ def test_time_filters_reach_the_scan(spark, small, name):
         ("score_transactions", 2),
         ("rolling_1h_all", 3),
         ("layering_paths", 4),
+        ("layering_top", 5),
+        ("graph_verdict", 17),
+        ("circular_transfers", 9),
         ("column_profile", 1),
     ],
 )

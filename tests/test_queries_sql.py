@@ -6,9 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from txnwatch.plans.oracle import all_oracles
+from txnwatch.plans.queries import all_queries
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), all_oracles()
 TYPES = {
     "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
     "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "DATE": "date",

@@ -12,6 +12,7 @@ from txnwatch.operators import features as feat
 from txnwatch.operators import reports
 from txnwatch.operators.scoring import score, user_features
 from txnwatch.sources import transactions as src
+from txnwatch.sources.tables import sync_feature_view
 from txnwatch.streaming import features as live
 from txnwatch.streaming import sinks
 
@@ -148,9 +149,18 @@ def test_intraday_upserts_keep_the_last_value(spark, make_tx, arriving, tmp_path
 
     newest = sinks.current_values(spark, out, ["user_id"], ("day",))
     assert newest.count() == len({r[1] for r in rows})
-    target = str(tmp_path / "compacted")
-    sinks.compact(spark, out, target, ["user_id"], ("day",))
-    assert listed(sinks.current_values(spark, target, ["user_id"], ("day",))) == listed(newest)
+    before = listed(newest)
+    sinks.compact(spark, out, ["user_id"], ("day",))
+    after = sinks.current_values(spark, out, ["user_id"], ("day",))
+    assert listed(after) == before
+    assert all("-snapshots/upto=" in f for f in after.inputFiles())
+    after.limit(1).withColumn("intraday_tx_count", after.intraday_tx_count + 1).write.parquet(
+        f"{out}/batch_id=1000"
+    )
+    assert len(sinks.current_values(spark, out, ["user_id"], ("day",)).inputFiles()) > len(after.inputFiles())
+    sinks.compact(spark, out, ["user_id"], ("day",), expire=True)
+    last = listed(sinks.current_values(spark, out, ["user_id"], ("day",)))
+    assert len(last) == len(before) and sum(a != b for a, b in zip(last, before)) == 1
 
 
 def test_late_rows_are_dropped_after_the_watermark(spark, arriving, tmp_path):
@@ -210,3 +220,20 @@ def test_alerts_can_go_to_a_catalog_table(spark, arriving, tmp_path):
     sinks.finish(sinks.append_table_stream(stream, "streamed_alerts", str(tmp_path / "cp")))
     assert spark.table("streamed_alerts").count() == 1
     spark.sql("DROP TABLE streamed_alerts")
+
+
+def test_the_stream_scores_against_a_written_view(spark, make_tx, tmp_path):
+    tx = make_tx([r for r in random_rows(3, 40) if r[2] is not None])
+    features = feat.hybrid_features(tx, dt.datetime(2024, 1, 31), dt.date(2024, 1, 10))
+    view = sync_feature_view(features, str(tmp_path / "view"), 4)
+    assert listed(view) == listed(features)
+    plan = score(tx, view)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    assert all("/view/sync=4/" in f for f in view.inputFiles())
+
+
+def test_rejected_messages_keep_their_text(spark):
+    good = message(tx_row(1))
+    bad = ["{bad", good[:30], '{"transaction_id":"t","amount":1}']
+    rows = spark.createDataFrame([(m.encode(),) for m in [good, *bad]], "value binary")
+    assert sorted(r[0] for r in src.rejected_messages(rows).collect()) == sorted(bad)

@@ -162,8 +162,7 @@ def _whole(found: DataFrame) -> DataFrame:
     )
 
 
-def graph_verdict(found: DataFrame) -> DataFrame:
-    """One row: overall heading and summary, with the first three names seen."""
+def _verdict() -> list[Column]:
     count = F.size("ids")
     heading = (
         F.when(count > 6, W.NETWORK_HEADING)
@@ -177,7 +176,12 @@ def graph_verdict(found: DataFrame) -> DataFrame:
         F.array_join(F.slice("ids", 1, 3), ", "),
     )
     summary = F.when(count > 0, text).otherwise(W.NOTHING_SUMMARY)
-    return _whole(found).select(heading.alias("heading"), summary.alias("summary"))
+    return [heading.alias("heading"), summary.alias("summary")]
+
+
+def graph_verdict(found: DataFrame) -> DataFrame:
+    """One row: overall heading and summary, with the first three names seen."""
+    return _whole(found).select(*_verdict())
 
 
 def anomaly_of_node(found: DataFrame) -> DataFrame:
@@ -191,9 +195,16 @@ def anomaly_of_node(found: DataFrame) -> DataFrame:
     )
 
 
+def _prompt() -> Column:
+    names = F.array_join("ids", ", ")
+    return F.format_string(W.GRAPH_PROMPT, names, F.to_json("links")).alias("prompt")
+
+
 def graph_prompt(found: DataFrame) -> DataFrame:
     """One row: prompt that lists all nodes and links of the findings."""
-    names = F.array_join("ids", ", ")
-    return _whole(found).select(
-        F.format_string(W.GRAPH_PROMPT, names, F.to_json("links")).alias("prompt")
-    )
+    return _whole(found).select(_prompt())
+
+
+def graph_prompt_and_verdict(found: DataFrame) -> DataFrame:
+    """One row: the prompt, and the heading and summary to fall back on."""
+    return _whole(found).select(_prompt(), *_verdict())

@@ -24,6 +24,7 @@ from txnwatch.sources.tables import (
     append_to_table,
     feature_view,
     replace_table,
+    sync_feature_view,
     write_clustered,
 )
 from txnwatch.streaming import features as live
@@ -542,10 +543,8 @@ def make_graph_stub() -> text.Model:
 @query("graph_inference")
 def graph_inference(spark, sf_dir):
     """Findings, prompt, model, parsed reply; what the reply lacks comes from the verdict."""
-    found = findings(spark, sf_dir)
-    replied = text.generate_text(subgraph.graph_prompt(found), make_graph_stub, tasks=1)
-    verdict = subgraph.graph_verdict(found)
-    both = replied.crossJoin(verdict)  # one row each
+    asked = subgraph.graph_prompt_and_verdict(findings(spark, sf_dir))
+    both = text.generate_text(asked, make_graph_stub, tasks=1)
     parsed = replies.heading_and_summary(
         F.col("recommendation"), F.col("heading"), F.col("summary")
     )
@@ -643,9 +642,9 @@ def stream_alerts(spark, sf_dir):
 
 @query("stream_score")
 def stream_score(spark, sf_dir):
-    scored = live.score_stream(
-        src.accepted(arriving(spark, sf_dir)), user_features(spark, sf_dir)
-    )
+    # the view is written once, so a micro-batch reads a small table and not the history
+    view = sync_feature_view(user_features(spark, sf_dir), shared_folder(spark, "view"), 0)
+    scored = live.score_stream(src.accepted(arriving(spark, sf_dir)), view)
     return _run_append(spark, scored, "stream_score").drop("timestamp")
 
 

@@ -39,6 +39,16 @@ def write_clustered(
     writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
+def sync_feature_view(features: DataFrame, path: str, sync_id: int) -> DataFrame:
+    """Write the view's rows as the snapshot ``sync_id`` and return them as a table.
+
+    Scoring reads this instead of computing features again. Ids grow; a sync that is run
+    again replaces its own snapshot."""
+    folder = f"{path.rstrip('/')}/sync={sync_id}"
+    features.write.mode("overwrite").parquet(folder)
+    return features.sparkSession.read.schema(features.schema).parquet(folder)
+
+
 def feature_view(history: DataFrame, key: str = "user_id") -> DataFrame:
     """Newest row per key of an appended feature table."""
     return latest_per_key(history, [key], ["feature_timestamp"])

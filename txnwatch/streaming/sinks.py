@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txnwatch.operators.keyed import latest_per_key
@@ -53,20 +54,66 @@ def upsert_stream(
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _numbered(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers N of the complete folders ``path/name=N``, in order."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*/_SUCCESS")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(pattern) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def _snapshots(path: str) -> str:
+    return f"{path.rstrip('/')}-snapshots"
+
+
+def _updates(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot and the batches after it, with their ``batch_id``."""
+    upto = max(_numbered(spark, _snapshots(path), "upto"), default=None)
+    later = [n for n in _numbered(spark, path, "batch_id") if upto is None or n > upto]
+    folders = [f"{path}/batch_id={n}" for n in later]
+    parts = []
+    if upto is not None:
+        parts.append(spark.read.parquet(f"{_snapshots(path)}/upto={upto}"))
+    if folders or not parts:
+        reader = spark.read.option("basePath", path)
+        parts.append(reader.parquet(*folders) if folders else reader.parquet(path))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def current_values(
     spark: SparkSession, path: str, keys: list[str], order: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Last written row per key: by ``order`` first, then by batch."""
-    updates = spark.read.option("basePath", path).parquet(path)
-    return latest_per_key(updates, keys, [*order, "batch_id"]).drop("batch_id")
+    """Last written row per key: by ``order`` first, then by batch.
+
+    Reads the newest snapshot that ``compact`` left and the batches written after it."""
+    return latest_per_key(_updates(spark, path), keys, [*order, "batch_id"]).drop("batch_id")
 
 
 def compact(
-    spark: SparkSession, path: str, target: str, keys: list[str], order: tuple[str, ...] = ()
+    spark: SparkSession, path: str, keys: list[str], order: tuple[str, ...] = (), expire: bool = False
 ) -> None:
-    """Write the current values to ``target`` as the first batch of a new folder."""
-    values = current_values(spark, path, keys, order)
-    values.write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+    """Fold all batches so far into a snapshot, while the stream may go on writing.
+
+    A snapshot that was cut off has no success mark and is not read. With ``expire``, folders
+    that the new snapshot holds are deleted; no reader that began before may still need them."""
+    batches = _numbered(spark, path, "batch_id")
+    if not batches:
+        return
+    upto, kept = batches[-1], _snapshots(path)
+    older = [n for n in _numbered(spark, kept, "upto") if n < upto]
+    if upto not in _numbered(spark, kept, "upto"):
+        updates = _updates(spark, path).filter(F.col("batch_id") <= upto)
+        values = latest_per_key(updates, keys, [*order, "batch_id"])
+        values.write.mode("overwrite").parquet(f"{kept}/upto={upto}")
+    if expire:
+        jvm = spark.sparkContext._jvm
+        gone = [f"{path}/batch_id={n}" for n in batches] + [f"{kept}/upto={n}" for n in older]
+        for folder in map(jvm.org.apache.hadoop.fs.Path, gone):
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def start_sliding_features(

@@ -96,9 +96,13 @@ def mix(
         word_count(F.col("text")).alias("_size"),
     )
     spread = light.repartitionByRange(buckets(spark), "_source", "_size", "_id")
-    dealt = kept(spread.withColumn("_part", F.spark_partition_id()), "mix-ordered")
+    # numbered in the order of the sort, from the same start in all rows of a partition
+    dealt = spread.sortWithinPartitions("_source", "_size", "_id").select(
+        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")
+    )
+    dealt = kept(dealt, "mix-ordered")
     parts = dealt.groupBy("_source", "_part").agg(
-        F.count("*").alias("_rows"), F.sum("_size").alias("_words")
+        F.count("*").alias("_rows"), F.sum("_size").alias("_words"), F.min("_at").alias("_first")
     )
     parts = kept(parts, "mix-parts")
     totals = parts.groupBy(F.col("_source").alias("source")).agg(
@@ -114,17 +118,16 @@ def mix(
         .select(
             F.col("_source").alias("_s"),
             F.col("_part").alias("_p"),
-            "_before",
+            (F.col("_before") - F.col("_first")).alias("_shift"),
             "source_size",
             "target",
         )
     )
-    within = Window.partitionBy("_part", "_source").orderBy("_size", F.col("_id").asc_nulls_first())
-    ranked = dealt.withColumn("_rank", F.row_number().over(within)).join(
+    ranked = dealt.join(
         starts, (F.col("_part") == F.col("_p")) & F.col("_source").eqNullSafe(F.col("_s"))
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rank, start = F.col("_before") + F.col("_rank"), offset(F.col("_source"), seed)
+    rank, start = F.col("_at") + F.col("_shift") + 1, offset(F.col("_source"), seed)
     crossed = F.floor(rate * rank + start) - F.floor(rate * (rank - 1) + start)
     return ranked.select(
         *keep,

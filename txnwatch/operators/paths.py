@@ -166,11 +166,16 @@ def _last_out(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("dst2")).agg(F.max("at").alias("last_out"))
 
 
-def _follow(left: DataFrame, right: DataFrame, hop: int, max_gap: int | None) -> DataFrame:
+def _follow(
+    left: DataFrame, right: DataFrame, hop: int, max_gap: int | None, closing: bool = False
+) -> DataFrame:
     """Join transfer ``hop`` to transfer ``hop + 1`` through the shared account, in time
-    order. A gap limit (microseconds) also splits each account by time."""
+    order. A gap limit (microseconds) also splits each account by time. A ``closing`` transfer
+    goes back to where the first came from."""
     early, late = F.col(f"at{hop}"), F.col(f"at{hop + 1}")
     shared = F.col(f"dst{hop}") == F.col(f"src{hop + 1}")
+    if closing:
+        shared = shared & (F.col(f"dst{hop + 1}") == F.col("src1"))
     if max_gap is None:
         return left.join(right, shared & (early < late))
     slot = bucket(early, max_gap)
@@ -376,6 +381,23 @@ def circular_transfers(transfers: DataFrame) -> DataFrame:
     return _closed(_middle(edges, _timed_walks(edges)), edges)
 
 
+def rapid_cycles(transfers: DataFrame, max_gap: int) -> DataFrame:
+    """All cycles a -> b -> c -> a whose transfers follow each other within ``max_gap``
+    microseconds. Accounts are split by time, so work is bounded by what passes through an
+    account within the gap, whatever its whole history."""
+    edges = _edges(transfers)
+    begun = _follow(_named(edges, 1), _named(edges, 2), 1, max_gap)
+    closed = _follow(begun, _named(edges, 3), 2, max_gap, closing=True)
+    return closed.select(
+        F.col("src1").alias("originating_account"),
+        F.col("dst1").alias("intermediary_1"),
+        F.col("dst2").alias("intermediary_2"),
+        F.col("amount1").alias("init_amount"),
+        F.col("amount3").alias("return_amount"),
+        *[F.col(f"id{i}").alias(f"transaction_{i}") for i in (1, 2, 3)],
+    )
+
+
 def circular_top(transfers: DataFrame, k: int = 3) -> DataFrame:
     """First ``k`` cycles by the three accounts, then by the three ids.
 

@@ -496,6 +496,14 @@ FROM parsed""",
   || '"}}' AS first_hop
 FROM e1 JOIN e2 ON src2 = dst1 AND at2 > at1 AND at2 <= at1 + INTERVAL 1 HOUR
 JOIN e3 ON src3 = dst2 AND at3 > at2 AND at3 <= at2 + INTERVAL 1 HOUR WHERE amount1 > 5000"""
+    )
+    sql["circular_6h"] = (
+        with_(TX, *[hop.format(i) for i in (1, 2, 3)])
+        + """SELECT src1 AS originating_account, dst1 AS intermediary_1, dst2 AS intermediary_2,
+  amount1 AS init_amount, amount3 AS return_amount,
+  id1 AS transaction_1, id2 AS transaction_2, id3 AS transaction_3
+FROM e1 JOIN e2 ON src2 = dst1 AND at2 > at1 AND at2 <= at1 + INTERVAL 6 HOUR
+JOIN e3 ON src3 = dst2 AND dst3 = src1 AND at3 > at2 AND at3 <= at2 + INTERVAL 6 HOUR"""
     )
     ideas = (
         with_(*DESCRIBED)

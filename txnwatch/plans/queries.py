@@ -397,6 +397,12 @@ def circular_transfers(spark, sf_dir):
     )
 
 
+@query("circular_6h")
+def circular_6h(spark, sf_dir):
+    """Every cycle whose transfers follow each other within six hours."""
+    return paths.rapid_cycles(edges(spark, sf_dir), 6 * HOUR)
+
+
 @query("smurfing_sinks")
 def smurfing_sinks(spark, sf_dir):
     return graph.smurfing_sinks(edges(spark, sf_dir))

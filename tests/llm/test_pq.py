@@ -49,6 +49,21 @@ def test_equals_all_pairs(spark, block, lists):
     assert len(set(component.values())) < 150
 
 
+@pytest.mark.parametrize("probes", [1, 3])
+def test_recall_with_few_probes(spark, probes):
+    rng = np.random.default_rng(probes)
+    base = rng.normal(size=(120, 16))
+    rows = [(i, [float(x) for x in base[i % 120] + rng.normal(size=16) * 0.2]) for i in range(480)]
+    df = spark.createDataFrame([(i, v, 0, 1, "c", 2) for i, v in rows], SCHEMA)
+    got = pq.near_duplicates(df, max_probes=probes, block=16).collect()
+    links, component = plain(rows)
+    assert all(r.n_links <= links[r.vec_id] for r in got)
+    recall = sum(r.n_links for r in got) / sum(links.values())
+    assert recall >= (0.9 if probes == 3 else 0.5)
+    assert all(r.component_id >= component[r.vec_id] for r in got)
+    assert sum(r.n_links for r in got) % 2 == 0
+
+
 def test_a_small_training_sample_loses_nothing(spark):
     rows = list(enumerate(vectors(5, 120)))
     df = spark.createDataFrame([(i, v, 0, 1, "c", 2) for i, v in rows], SCHEMA)

@@ -2,11 +2,13 @@
 
 Equal vectors are one class first. A bounded sample trains coarse centroids and, on residuals, a
 code book per subspace. Every class is put into the inverted list of its nearest centroid with
-its residual codes and the length of what the codes leave out. As a query, it probes each list
-that can hold a vector within the cosine: for unit vectors within distance r, the query is at most
-r beyond the plane between the two centroids. In a list, table-lookup (asymmetric) distances to
-the codes discard vectors that are out of reach even by the left-out length, and exact cosines in
-double precision settle the rest. Both bounds are strict, so no link is lost to the quantiser.
+its residual codes and the length of what the codes leave out. As a query, it probes the
+``max_probes`` nearest of the lists that can hold a vector within the cosine (for unit vectors
+within distance r, the query is at most r beyond the plane between the two centroids). A link is
+found if either end probes the other's list, and counts for both. In a list, table-lookup
+(asymmetric) distances to the codes discard vectors that are out of reach even by the left-out
+length, a strict bound, and exact cosines in double precision settle the rest. So links can be
+lost to the number of probes only; with ``max_probes`` of None none are.
 
 Lists are cut into blocks of at most about ``block`` vectors on either side, so a list with a
 third of all vectors is many tasks. A block gives counts per vector and at most one tree of
@@ -53,15 +55,17 @@ class Quantiser:
         )
         return lists, codes.astype(np.uint8), np.sqrt(left)
 
-    def probes(self, x: np.ndarray, reach: float) -> Iterator[np.ndarray]:
-        """Of each vector, all lists that can hold one within ``reach`` of it."""
+    def probes(self, x: np.ndarray, reach: float, most: int | None = None) -> Iterator[np.ndarray]:
+        """Of each vector, the nearest ``most`` lists (or all) that can hold one within
+        ``reach`` of it; the first is its own."""
         far = squared(x, self.centroids)
         home = far.argmin(axis=1)
         apart = np.sqrt(squared(self.centroids, self.centroids))
         for i, h in enumerate(home):
             near = far[i] - far[i, h] <= 2 * (reach + SLACK) * apart[h] + SLACK
-            near[h] = True
-            yield np.flatnonzero(near)
+            near[h] = False
+            others = np.flatnonzero(near)
+            yield np.concatenate([[h], others[np.argsort(far[i, others], kind="stable")]])[:most]
 
     def tables(self, q: np.ndarray, number: int) -> np.ndarray:
         """Squared distance of each query's residual part to each code (subspace, query, code)."""
@@ -126,7 +130,8 @@ def near_duplicates(
     min_cosine: float = 0.9,
     dimensions: int | None = None,
     max_train: int = 20_000,
-    max_lists: int = 256,
+    max_lists: int = 1024,
+    max_probes: int | None = 16,
     subspaces: int = 16,
     codes: int = 64,
     block: int = 2048,
@@ -139,7 +144,8 @@ def near_duplicates(
     most common) or with null or non-finite components link with nothing, as do rows without
     vec_id, whose component_id and kept are null. Rows that repeat a vec_id are linked as vectors
     of their own under one id. At most ``max_train`` vectors, those with the smallest hash of
-    their id, train the quantiser; all are indexed. Other columns are not read. An empty table
+    their id, train the quantiser; all are indexed. With a bounded ``max_probes``, links of vectors
+    that are many lists apart may be missed; none is reported below ``min_cosine``. Other columns are not read. An empty table
     gives an empty result.
     """
     if not 0 < min_cosine <= 1:
@@ -158,7 +164,7 @@ def near_duplicates(
     sample = unit(np.stack(sample.sort_values("rep")["embedding"].to_numpy()))
     quantiser = train(sample, int(min(max_lists, max(1, total**0.5))), subspaces, codes)
     reach = float(np.sqrt(2 - 2 * min_cosine))
-    indexed = kept(_indexed(found, quantiser, reach), "vector-lists")
+    indexed = kept(_indexed(found, quantiser, reach, max_probes), "vector-lists")
     cuts = _cuts(indexed, block)
     sides = _sides(indexed, cuts)
     out = sides.groupBy("list", "base_cut", "query_cut").applyInPandas(
@@ -188,14 +194,17 @@ def near_duplicates(
     )
 
 
-def _indexed(found: DataFrame, quantiser: Quantiser, reach: float) -> DataFrame:
+def _indexed(
+    found: DataFrame, quantiser: Quantiser, reach: float, max_probes: int | None
+) -> DataFrame:
     """(rep, n, list, probes, vector, codes, left) of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            raw = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            raw = np.ascontiguousarray(raw, np.float64).reshape(batch.num_rows, -1)
             x = unit(raw)
             lists, codes, left = quantiser.encode(x)
             yield pa.RecordBatch.from_arrays(
@@ -203,8 +212,8 @@ def _indexed(found: DataFrame, quantiser: Quantiser, reach: float) -> DataFrame:
                     batch.column(0),
                     batch.column(1),
                     pa.array(lists, pa.int32()),
-                    pa.array([p.astype(np.int32) for p in quantiser.probes(x, reach)], pa.list_(pa.int32())),
-                    pa.array([v.tobytes() for v in x], pa.binary()),
+                    pa.array([p.astype(np.int32) for p in quantiser.probes(x, reach, max_probes)], pa.list_(pa.int32())),
+                    pa.array([v.tobytes() for v in raw], pa.binary()),
                     pa.array([c.tobytes() for c in codes], pa.binary()),
                     pa.array(left),
                 ],
@@ -233,15 +242,16 @@ def _sides(indexed: DataFrame, cuts: DataFrame) -> DataFrame:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     payload = ["rep", "n", "vector", "codes", "left"]
-    base = indexed.select("list", *payload).join(cuts, "list")
+    base = indexed.select("list", "probes", *payload).join(cuts, "list")
     base = base.select(
         "list", own("base", "base_cuts").alias("base_cut"), every("query_cuts").alias("query_cut"),
-        F.lit(False).alias("asks"), *payload,
+        F.lit(False).alias("asks"), F.lit(None).cast("int").alias("home"), "probes", *payload,
     )
-    queries = indexed.select(F.explode("probes").alias("list"), *payload).join(cuts, "list")
+    queries = indexed.select(F.explode("probes").alias("list"), F.col("list").alias("home"), *payload).join(cuts, "list")
     queries = queries.select(
         "list", every("base_cuts").alias("base_cut"), own("query", "query_cuts").alias("query_cut"),
-        F.lit(True).alias("asks"), "rep", "n", "vector",
+        F.lit(True).alias("asks"), "home", F.lit(None).cast("array<int>").alias("probes"),
+        "rep", "n", "vector",
         F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("left"),
     )
     return base.unionByName(queries)
@@ -253,12 +263,17 @@ def _block(quantiser: Quantiser, min_cosine: float, reach: float):
         base, asks = rows[~rows["asks"]], rows[rows["asks"]]
         if not len(base) or not len(asks):
             return pd.DataFrame({"a": [], "b": [], "n": []})
-        vectors = np.stack([np.frombuffer(v) for v in base["vector"]])
+        vectors = unit(np.stack([np.frombuffer(v) for v in base["vector"]]))
         codes = np.stack([np.frombuffer(c, np.uint8) for c in base["codes"]])
         limit = (reach + base["left"].to_numpy(float) + SLACK) ** 2 + SLACK
         ids, sizes = base["rep"].to_numpy(np.int64), base["n"].to_numpy(np.int64)
-        asked = np.stack([np.frombuffer(v) for v in asks["vector"]])
-        askers = asks["rep"].to_numpy(np.int64)
+        asked = unit(np.stack([np.frombuffer(v) for v in asks["vector"]]))
+        askers, asker_sizes = asks["rep"].to_numpy(np.int64), asks["n"].to_numpy(np.int64)
+        homes = asks["home"].to_numpy(np.int64)
+        probed = np.zeros((len(ids), len(quantiser.centroids)), bool)
+        for i, lists in enumerate(base["probes"]):
+            probed[i, lists] = True
+        one_way = np.zeros(len(ids), np.int64)
         group = np.arange(len(ids))
         a, b, n = [], [], []
         for start in range(0, len(asked), 256):
@@ -272,6 +287,9 @@ def _block(quantiser: Quantiser, min_cosine: float, reach: float):
             qi, xi = qi[close], xi[close]
             counts = np.bincount(qi, sizes[xi], len(q)).astype(np.int64)
             hit = np.flatnonzero(counts)
+            # a link that only this side finds counts for the other one here
+            alone = ~probed[xi, homes[start + qi]]
+            one_way += np.bincount(xi[alone], asker_sizes[start + qi[alone]], len(ids)).astype(np.int64)
             a.extend(q_ids[hit])
             b.extend([None] * len(hit))
             n.extend(counts[hit])
@@ -285,6 +303,10 @@ def _block(quantiser: Quantiser, min_cosine: float, reach: float):
                     n.append(0)
                 if len(met) > 1:
                     group[np.isin(group, met)] = met[0]
+        met_only = np.flatnonzero(one_way)
+        a.extend(ids[met_only])
+        b.extend([None] * len(met_only))
+        n.extend(one_way[met_only])
         return pd.DataFrame(
             {"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "n": pd.array(n, "Int64")}
         )

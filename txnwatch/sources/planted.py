@@ -25,7 +25,8 @@ OWNER_ROWS = (("plant_7", "Innocent_Retail", 15000.0, 0, "Shady_Shell_Corp", "In
 SMURFING_ROWS = tuple(
     (f"plant_{7 + i}", f"Smurf_{i}", 9500.0, i, "Sink_1", "P2P_Transfer") for i in range(1, 5)
 )
-# Entities (id, type, risk) and ownership (owner, account, document).
+# Entities (id, type, risk) and ownership (owner, account). The documents' names
+# are own ones.
 ENTITIES = (
     ("Shell_Corp_1", "Company", "Monitor"),
     ("Jane_Doe", "Person", "Low Risk"),

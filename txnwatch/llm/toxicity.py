@@ -85,9 +85,11 @@ class Rows:
         return Rows(ids, self.sizes[mask], self.labels[mask], self.folds[mask], self.features)
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
-        ends = np.concatenate([[0], np.cumsum(weights[self.ids])])
-        at = np.concatenate([[0], np.cumsum(self.sizes)])
-        return ends[at[1:]] - ends[at[:-1]]
+        so_far = weights[self.ids]
+        np.cumsum(so_far, out=so_far)
+        ends = np.cumsum(self.sizes)
+        whole = np.where(ends > 0, so_far[ends - 1] if len(so_far) else 0.0, 0.0)
+        return np.diff(whole, prepend=0.0)
 
 
 def fit(name: str, rows: Rows, y: np.ndarray, earlier: np.ndarray, penalty: float, steps: int) -> Link:
@@ -178,7 +180,7 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     chain: Sequence[tuple[str, str]] = CHAIN,
-    max_rows: int = 6_000,
+    max_rows: int = 5_000,
     folds: int = 3,
     penalty: float = 2e-4,
     steps: int = 120,
@@ -197,8 +199,12 @@ def train(
     slot = np.full(FEATURES, -1, np.int32)
     slot[used] = np.arange(len(used))
     ids = slot[rows.ids]
-    owner = np.repeat(np.arange(len(rows.sizes)), rows.sizes)[ids >= 0]
-    small = Rows(ids[ids >= 0], np.bincount(owner, minlength=len(rows.sizes)), rows.labels, rows.folds, len(used))
+    stays = ids >= 0
+    passed = np.concatenate([[0], np.cumsum(stays)])
+    sizes = np.diff(passed[np.concatenate([[0], np.cumsum(rows.sizes)])])
+    # indices of the native width, which numpy would otherwise copy to at every step
+    small = Rows(ids[stays].astype(np.intp), sizes, rows.labels, rows.folds, len(used))
+    del ids, stays, passed
     models = train_chain(small, [n for n, _ in chain], folds, penalty, steps)
     return [Link(m.name, dict(zip(used.tolist(), m.words)), m.earlier, m.constant) for m in models]
 

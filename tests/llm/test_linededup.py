@@ -46,6 +46,15 @@ def test_unchanged_and_emptied_texts_and_no_rows(spark):
     assert linededup.drop_boilerplate(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_lines_on_about_every_tenth_page_go_and_rare_ones_stay(spark):
+    texts = ["often\n" * (i % 23 == 0) + "seldom\n" * (i % 50 == 1) + f"own {i}" for i in range(250)]
+    texts += ["often\n" * (i % 11 == 0) + f"own {i}" for i in range(250, 500)]
+    rows = [(i, t, "s", None, None, None, None) for i, t in enumerate(texts)]
+    left = [r.text for r in linededup.drop_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sum("often" in t for t in texts) < 50 and not any("often" in t for t in left)
+    assert sum("seldom" in t for t in left) == 5
+
+
 def test_no_python_in_the_plan(spark):
     df = linededup.drop_boilerplate(spark.createDataFrame(pages(1, 20), SCHEMA))
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 from txnwatch.llm.tables import fresh, kept
 
-MAX_RATIO, MIN_PAGES = 0.1, 3
+#: Half of a tenth: a line that a site puts on every tenth page is on 10 % of n pages give or take
+#: 0.3 / sqrt(n), so on 500 pages 5 % is four deviations below it. Small hosts go by MIN_PAGES. Not
+#: lower, as copies of one document would then lose all their lines before one of them is kept.
+MAX_RATIO, MIN_PAGES = 0.05, 3
 #: Hashes that may be broadcast (8 bytes each).
 MAX_BROADCAST = 2_000_000
 

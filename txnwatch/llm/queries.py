@@ -57,7 +57,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABUL
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without lines that are on over a tenth of their source's documents."""
+    """Documents without lines that are on over a twentieth of their source's documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return linededup.drop_boilerplate(docs, counted="lines_dropped")
 

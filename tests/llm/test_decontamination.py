@@ -85,6 +85,15 @@ def test_windows_equal_a_plain_search(spark):
     assert set(found(spark, texts, items)) == want and 0 < len(want) < 40
 
 
+def test_long_items_short_items_and_dense_items(spark):
+    long, dense = filler(1, 400), "12 km + 13 km + 14 km = 39 km"
+    part = " ".join(long.split()[100:113])
+    parts = " ".join(f"{' '.join(long.split()[k : k + 10])} gap{k} gap" for k in (20, 60, 120))
+    texts = [f"{filler(2)} {part} {filler(3)}", f"{filler(4)} {parts}", f"{filler(5)} {dense} {filler(6)}"]
+    texts += ["Six seven\neight nine.", filler(7), dense.replace("14", "15").replace("39", "40")]
+    assert found(spark, texts, [long, dense, "six seven eight nine"], min_share=0.9) == {0: 0, 2: 1, 3: 2}
+
+
 def test_dropping_keeps_the_rest_as_it_is(spark):
     rows = [(None, filler(1), "x", "y", 1), (None, QUESTION, "x", "y", 1), (2, None, None, None, None)]
     rows += [(3, filler(1), "x", "y", 1)] * 2

@@ -4,7 +4,8 @@ Words are canonicalised to templates: numbers, units and names become typed plac
 words lose their case and outer punctuation. A name is a capitalised word, not all in capitals, that
 does not start a sentence, in a text that does not capitalise most of its words. Windows of ``window`` template words are hashed and
 hash-joined between documents and benchmark items, so a question whose numbers or names were
-changed still meets its original. A hit counts only if the slots are consistent: within a window,
+changed still meets its original. Windows with few literal words, and whole texts of fewer than
+``SHORTEST`` words, are hashed as their words stand. A hit counts only if the slots are consistent: within a window,
 equal benchmark values stand for equal document values and different ones for different ones.
 
 Documents are read in Arrow batches and whole; a word is canonicalised once per task. Windows
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from txnwatch.llm.tables import checked, kept
 
 WINDOW, SHORTEST, MIN_LITERAL, MIN_SHARE = 8, 5, 4, 0.3
+#: Consecutive windows that tell whatever the item's length: 13 copied words.
+MIN_RUN = 6
 #: Units of measure and money.
 UNITS = frozenset(
     "mm cm km ft yd mi mg kg lb oz ml gal sec min hr hrs ms hz khz mhz ghz kw mw kj cal kcal pa "
@@ -77,6 +80,7 @@ class Windows:
         self.factors = rng.integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.kinds = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
         self.lengths, self.known, self.words = lengths, known, Words()
+        self.exact = rng.integers(0, 1 << 63, dtype=np.uint64)
         if known is not None:
             self.bits = np.zeros(1 << 22, bool)
             self.bits[known >> np.uint64(42)] = True
@@ -109,6 +113,11 @@ class Windows:
         template = np.where(literal, value, self.kinds[kind])
         slot = np.where(literal, np.uint64(0), (value ^ self.kinds[kind]) | np.uint64(1))
         before = np.concatenate([[0], np.cumsum(literal)])
+        for i in (i for i, size in enumerate(sizes) if 0 < size < SHORTEST):
+            whole = value[starts[i] : starts[i] + sizes[i]].tobytes()
+            key = xxhash.xxh64_intdigest(whole, seed=sizes[i])
+            if self.known is None or np.isin(np.uint64(key), self.known):
+                yield i, key, 0, [0] * sizes[i]
         for length in self.lengths:
             m = n - length + 1
             if m <= 0:
@@ -118,21 +127,28 @@ class Windows:
                 sums += template[k : k + m] * self.factors[k]
             sums ^= sums >> np.uint64(29)
             sums *= self.factors[0]
+            dense = before[length:] - before[:m] < MIN_LITERAL
+            at = np.flatnonzero(dense)
+            exact = np.full(len(at), np.uint64(length) ^ self.exact)
+            for k in range(length):
+                exact += value[at + k] * self.factors[k]
+            exact ^= exact >> np.uint64(29)
+            sums[at] = exact * self.factors[1]
             if self.known is None:
                 at = np.arange(m)
             else:
                 at = np.flatnonzero(self.bits[sums >> np.uint64(42)])
                 at = at[np.isin(sums[at], self.known)]
             at = at[owner[at] == owner[at + length - 1]]
-            at = at[before[at + length] - before[at] >= MIN_LITERAL]
             for i in at:
                 place = int(i - starts[owner[i]])
-                yield int(owner[i]), int(sums[i]), place, slot[i : i + length].view(np.int64).tolist()
+                slots = [0] * length if dense[i] else slot[i : i + length].view(np.int64).tolist()
+                yield int(owner[i]), int(sums[i]), place, slots
 
 
 def _hits(lengths: list[int], known: np.ndarray | None, whole: bool = False):
-    """Arrow function: (key, text) to distinct windows. ``whole``, for benchmark items: with
-    their places, and again without names, for texts in capitals; an item of fewer than WINDOW
+    """Arrow function: (key, text) to distinct windows with their places. ``whole``, for
+    benchmark items: again without names, for texts in capitals; an item of fewer than WINDOW
     words is one window of its own length, others have none of less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +166,6 @@ def _hits(lengths: list[int], known: np.ndarray | None, whole: bool = False):
                 for names in (True, False) if whole else (True,):
                     for i, window, place, slots in windows.of(chunk, names):
                         if not whole or len(slots) == min(WINDOW, sizes[i]):
-                            place = place if whole else 0
                             found.add((keys[start + i], _signed(window), place, tuple(slots)))
                 start += len(chunk)
                 if found:
@@ -196,9 +211,10 @@ def matches(
     benchmark: DataFrame,
     min_share: float = MIN_SHARE,
     max_filter: int = 4_000_000,
+    min_run: int = MIN_RUN,
 ) -> DataFrame:
     """(text_key, item_id, hits, windows) of texts holding at least ``min_share`` of the
-    windows of an item, with consistent slots."""
+    windows of an item, or ``min_run`` consecutive ones, with consistent slots."""
     asked = kept(benchmark_windows(benchmark), "benchmark-windows")
     distinct = asked.select("window_hash", F.size("slots").alias("length")).distinct()
     n = distinct.count()
@@ -207,20 +223,39 @@ def matches(
     if n <= max_filter:
         rows = distinct.toPandas()
         known = np.unique(rows["window_hash"].to_numpy(np.int64).view(np.uint64))
-        lengths = sorted({int(x) for x in rows["length"]})
+        lengths = sorted({int(x) for x in rows["length"] if x >= SHORTEST})
     hits = docs.select(text_key(), F.col("text").cast("binary")).mapInArrow(
         _hits(lengths, known), HIT
     )
-    pair = hits.drop("place").join(asked.withColumnRenamed("slots", "asked"), "window_hash")
+    pair = hits.withColumnRenamed("place", "at").join(
+        asked.withColumnRenamed("slots", "asked"), "window_hash"
+    )
     kinds = [F.size(F.array_distinct(x)) for x in ("slots", "asked", F.arrays_zip("slots", "asked"))]
     consistent = (F.size("slots") == F.size("asked")) & (kinds[0] == kinds[2]) & (kinds[1] == kinds[2])
-    return (
+    found = kept(
         pair.where(consistent)
-        .groupBy("text_key", "item_id", "windows")
-        .agg(F.count_distinct("place").alias("hits"))
-        .where(F.col("hits") >= F.ceil(F.col("windows") * F.lit(min_share)))
-        .select("text_key", "item_id", "hits", "windows")
+        .select("text_key", "item_id", "windows", "place", (F.col("at") - F.col("place")).alias("shift"))
+        .distinct(),
+        "benchmark-hits",
+    )
+    keys = ["text_key", "item_id", "windows"]
+    hits = found.groupBy(*keys).agg(F.count_distinct("place").alias("hits"))
+    # a run of windows is whole if each of its windows is a hit at the same shift
+    starts = F.explode(F.sequence(F.col("place") - F.lit(min_run - 1), F.col("place")))
+    runs = (
+        found.where(F.col("windows") >= min_run)
+        .select("text_key", "item_id", "shift", starts.alias("start"))
+        .groupBy("text_key", "item_id", "shift", "start")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") == min_run)
+        .select(F.col("text_key").alias("_key"), F.col("item_id").alias("_item"))
+        .distinct()
+    )
+    joined = hits.join(
+        runs, (F.col("text_key") == F.col("_key")) & F.col("item_id").eqNullSafe(F.col("_item")), "left"
     )
+    enough = F.col("hits") >= F.ceil(F.col("windows") * F.lit(min_share))
+    return joined.where(enough | F.col("_key").isNotNull()).select(*keys[:2], "hits", "windows")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -228,8 +263,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     items found in it), item_id (that with most windows found, then the smallest), hits and
     windows (of that item).
 
-    Null and empty texts, texts of fewer than 5 words and items of fewer than 5 words match
-    nothing, nor do windows with fewer than 4 literal words. Items that repeat an item_id count
+    Null and empty texts match nothing. An item of fewer than 5 words is found in texts that are
+    just its words, and windows with fewer than 4 literal words only as they stand. Items that repeat an item_id count
     as one; a null item_id is an item of its own. An empty documents or benchmark table gives
     no matches.
     """

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txnwatch.llm import decontamination, linededup, mixing, nearcopies, toxicity
+from txnwatch.llm import decontamination, linededup, mixing, simhash, toxicity
 from txnwatch.llm.tables import kept, table
 
 
@@ -22,8 +22,8 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of texts with five-word shingles 0.8 or more similar."""
-    return nearcopies.drop_near_copies(docs)
+    """One document stays of each group whose fingerprints two bits or fewer join."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

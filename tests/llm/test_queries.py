@@ -98,14 +98,19 @@ def test_pipeline_equals_its_plain_version(spark, small):
     def plain(text):
         return [w.strip(".,;:!?%*#$&|").lower() for w in brute.words(text)]
 
-    windows = set()
-    for item in spark.read.parquet(f"{small}/benchmark.parquet").collect():
-        w = plain(item.text)
-        windows |= {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+    def windows(text):
+        w = plain(text)
+        return [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+
+    items = [windows(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
 
     def leaks(text):
-        w = plain(text)
-        return sum(tuple(w[k : k + 8]) in windows for k in range(len(w) - 7)) >= 3
+        found = set(windows(text))
+        for item in items:
+            hits = [w in found for w in item]
+            if sum(hits) >= 0.3 * len(item) > 0 or "t" * 6 in "".join("ft"[h] for h in hits):
+                return True
+        return False
 
     docs = [d for d in docs if not leaks(d[2])]
     copies = brute.copies(docs)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from txnwatch.llm.tables import buckets, kept, word_count
+from txnwatch.llm.tables import buckets, fresh, kept, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -142,9 +142,7 @@ def mix(
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with its columns unchanged,
     numbered in a last column ``copy`` (``copy_`` if there is a column of that name, and so on)."""
-    name = "copy"
-    while name in docs.columns:
-        name += "_"
+    name = fresh("copy", docs)
     whole = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "doc_id", "text", "source"
     )

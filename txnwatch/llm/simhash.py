@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.llm.links import components
-from txnwatch.llm.tables import checked, kept
+from txnwatch.llm.tables import checked, fresh, kept
 
 BLOCKS, WIDTH, SLAB = 4, 16, 1 << 17
 
@@ -184,11 +184,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents of which each group of near-duplicates keeps the smallest doc_id; rows
     with a null doc_id are kept, and of rows that repeat the kept doc_id all stay."""
     # an id may have several texts: it stays if one of its rows stands for its group
-    found = near_duplicates(docs)
+    found, name = near_duplicates(docs), fresh("gone", docs)
     gone = (
         found.groupBy("doc_id")
         .agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"))
         .where("stays = 0")
-        .select("doc_id")
+        .select(F.col("doc_id").alias(name))
     )
-    return docs.join(checked(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(checked(gone, "near-copies"), F.col("doc_id") == F.col(name), "left_anti")

@@ -1,7 +1,8 @@
 """The same results as DuckDB SQL, where SQL can say them.
 
 SQL has no XXH64 (op5), no classifier (op7), no public tokenizer's merges (op2) and no sentence
-state for names (op6); those, and the pipeline made of them, are tested against plain versions.
+state for names (op6), no tokenizer (op11) and no eigenvectors (op13); those, and the pipeline
+made of them, are tested against plain versions.
 """
 
 from __future__ import annotations
@@ -108,6 +109,38 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, c
   vec_id = component_id AS kept FROM least"""
 
 
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''),
+  lambda c: ord(c)::BIGINT), lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda v, _: xor(v >> 1, (v & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"""
+
+TRIE = f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS seq FROM turns GROUP BY conv_id),
+asked AS (SELECT *, {_CRC32} % 9 AS h FROM lists),
+rebuilt AS (SELECT a.conv_id, coalesce(b.seq[1:h], []) || a.seq[h + 1:] AS seq
+  FROM asked a LEFT JOIN lists b ON b.conv_id = a.conv_id - a.conv_id % 5),
+members AS (SELECT conv_id AS c, unnest(range(0, len(seq) + 1)) AS depth, seq FROM rebuilt),
+named AS (SELECT c, depth, depth = len(seq) AS ends, seq[1:depth] AS prefix,
+    min(c) OVER (PARTITION BY depth, seq[1:depth]) AS conv_id FROM members),
+nodes AS (SELECT conv_id, depth, count(*) AS n_convs,
+    (count(*) - 1) * max(CASE WHEN depth > 0 THEN strlen(prefix[depth].text) ELSE 0 END) AS cost,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM named GROUP BY conv_id, depth),
+above AS (SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id FROM nodes n
+  JOIN named m ON m.c = n.conv_id AND m.depth = n.depth - 1),
+families AS (SELECT parent_conv_id, depth - 1 AS depth, count(*) AS n FROM above GROUP BY ALL),
+grown AS (SELECT nodes.*, above.parent_conv_id, coalesce(families.n, 0) AS n_children FROM nodes
+  LEFT JOIN above ON above.conv_id = nodes.conv_id AND above.depth = nodes.depth
+  LEFT JOIN families ON families.parent_conv_id = nodes.conv_id AND families.depth = nodes.depth),
+sums AS (SELECT m.conv_id, m.depth, count(*) FILTER (g.n_children = 0) AS n_leaves, sum(g.cost) AS saved
+  FROM grown g JOIN named m ON m.c = g.conv_id AND m.depth <= g.depth GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM grown JOIN sums USING (conv_id, depth)"""
+
+
 def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -160,4 +193,5 @@ ORACLES: dict[str, str] = {
     "op8_warc": WARC,
     "op9_product_quantisation": VECTORS,
     "op10_secret_scan": _secrets(),
+    "op12_prefix_trie": TRIE,
 }

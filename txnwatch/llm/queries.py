@@ -12,12 +12,15 @@ from txnwatch.llm import (
     decontamination,
     linededup,
     mixing,
+    packing,
     pq,
+    prefixtrie,
     secrets,
     simhash,
     tokencounts,
     toxicity,
     warc,
+    whitening,
 )
 from txnwatch.llm.tables import kept, table
 from txnwatch.session import shared_folder
@@ -103,6 +106,36 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """All documents as token sequences of at most 4096, as few as the plan finds. ``tokenizer``:
+    a file of the tokenizers library, by default that of the public word_bpe_49k vocabulary."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    with open(tokenizer, encoding="utf-8") as file:
+        found = packing.pieces(table(spark, sf_dir, "documents"), file.read())
+    digests = found.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
+    )
+    return packing.pack(digests)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each begun with up to eight turns of another."""
+    turns = prefixtrie.turns(table(spark, sf_dir, "conversations"))
+    conv_id = F.col("conv_id")
+    begun = prefixtrie.rebuilt(
+        turns, base=conv_id - conv_id % 5, taken=F.crc32(conv_id.cast("string")) % 9
+    )
+    return prefixtrie.trie(begun, turns.select("conv_id").distinct())
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors projected on the 16 widest directions and scaled to unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -116,5 +149,8 @@ QUERIES: dict[str, Query] = {
         op8_warc,
         op9_product_quantisation,
         op10_secret_scan,
+        op11_packing,
+        op12_prefix_trie,
+        op13_whitening,
     )
 }

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from txnwatch.llm.tables import fresh, kept
 
 CAPACITY, END = 4096, 1
-RATE, NEAR, ROUNDS, WALKS, LEAST = 0.1, 0.001, 40, 64, (0.0, 0.1, 0.5, 1.0)
+RATE, NEAR, ROUNDS, WALKS, LEAST = 0.1, 0.01, 80, 48, (0.0, 0.1, 0.5, 1.0)
 #: Bytes encoded at a time; words a task remembers, and the longest of them in bytes.
 SLAB, MAX_WORDS, MAX_WORD = 1 << 20, 300_000, 64
 SPACE = re.compile(rb"[\x20\x09-\x0D]")

@@ -15,6 +15,7 @@ from txnwatch.sources import transactions as src
 from txnwatch.sources.tables import sync_feature_view
 from txnwatch.streaming import features as live
 from txnwatch.streaming import sinks
+from txnwatch.streaming.late import LateRows
 
 
 def message(row) -> str:
@@ -237,3 +238,167 @@ def test_rejected_messages_keep_their_text(spark):
     bad = ["{bad", good[:30], '{"transaction_id":"t","amount":1}']
     rows = spark.createDataFrame([(m.encode(),) for m in [good, *bad]], "value binary")
     assert sorted(r[0] for r in src.rejected_messages(rows).collect()) == sorted(bad)
+
+
+def test_panes_fire_every_five_seconds_and_only_grow(spark, make_tx, tmp_path):
+    rows = [r for r in random_rows(31, 60, users=2, span=60 * 26) if r[2] is not None]
+    folder, out = str(tmp_path / "in"), str(tmp_path / "panes")
+    write_files(folder, [[message(r) for r in rows[0::3]]])
+    tx = src.accepted(src.decode_messages(src.stream_message_files(spark, folder, 1)))
+    query = sinks.start_intraday(tx, out, str(tmp_path / "cp"), delay="9 days",
+                                 trigger=sinks.EVERY_5_SECONDS)
+    try:
+        query.processAllAvailable()
+        first = len(sinks.numbered_folders(spark, out, "batch_id"))
+        write_files(folder, [[message(r) for r in rows[k::3]] for k in range(3)])
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert first and len(sinks.numbered_folders(spark, out, "batch_id")) >= first + 2
+    totals = ["intraday_tx_count", "intraday_total_spend"]
+    panes = sinks.pane_changes(spark, out, ["user_id", "day"], totals).collect()
+    assert all(p.added_intraday_tx_count > 0 for p in panes) and max(p.pane for p in panes) >= 3
+    last = sorted((p.user_id, p.day, p.intraday_tx_count) for p in panes if p.is_last)
+    want = feat.intraday_totals(make_tx(rows)).collect()
+    assert last == sorted((r.user_id, r.day, r.intraday_tx_count) for r in want)
+    for p in panes:  # what panes add sums up to the pane
+        upto = [q for q in panes if (q.user_id, q.day) == (p.user_id, p.day) and q.batch_id <= p.batch_id]
+        assert sum(q.added_intraday_tx_count for q in upto) == p.intraday_tx_count
+        assert sorted(q.pane for q in upto) == list(range(1, len(upto) + 1))
+
+
+def test_late_rows_are_counted_beyond_the_batches_a_query_remembers(spark, arriving, tmp_path):
+    day = dt.timedelta(days=1)
+    on_time = [[message(tx_row(k, "u", 1.0, at(0) + 30 * day))] for k in range(2)]
+    late = [[message(tx_row(10 + k, f"u{k}", 1.0, at(k)))] for k in range(104)]
+    listener = LateRows(spark, str(tmp_path / "late"))
+    assert listener.rows().count() == 0
+    spark.streams.addListener(listener)
+    try:
+        query = sinks.start_intraday(src.accepted(arriving([*on_time, *late])), str(tmp_path / "o"),
+                                     str(tmp_path / "c"), trigger=sinks.WHAT_IS_THERE)
+        listener.wait(query)
+    finally:
+        spark.streams.removeListener(listener)
+    rows = listener.rows().collect()
+    assert len(rows) == 104 and {r.dropped for r in rows} == {1}
+    assert {r.query_id for r in rows} == {str(query.id)} and len({r.batch_id for r in rows}) == 104
+    assert sinks.dropped_rows(query) < 104
+
+
+def test_a_running_scorer_sees_the_next_whole_sync(spark, tmp_path):
+    view, folder, out = str(tmp_path / "view"), str(tmp_path / "in"), str(tmp_path / "out")
+
+    def features(count, spend):
+        return spark.createDataFrame(
+            [("u", count, spend, 0, 0.0)],
+            "user_id string, baseline_tx_count long, baseline_total_spend double, "
+            "intraday_tx_count long, intraday_total_spend double",
+        )
+
+    files = [[message(tx_row(k, "u", 100.0 * k, k))] for k in range(5)]
+    write_files(folder, files[:1])
+    tx = src.accepted(src.decode_messages(src.stream_message_files(spark, folder, 1)))
+    query = sinks.start_synced_scoring(tx, view, out, str(tmp_path / "cp"),
+                                       trigger={"processingTime": "0 seconds"})
+    try:
+        query.processAllAvailable()
+        sync_feature_view(features(1, 10.0), view, 0)
+        write_files(folder, files[:2])
+        query.processAllAvailable()
+        sync_feature_view(features(2, 20.0), view, 1)
+        sync_feature_view(features(7, 70.0), view, 2)
+        os.remove(f"{view}/sync=2/_SUCCESS")  # one that is not whole
+        write_files(folder, files[:4])
+        query.processAllAvailable()
+        sync_feature_view(features(7, 70.0), view, 2)
+        write_files(folder, files)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = spark.read.parquet(out).orderBy("transaction_id").collect()
+    assert [(r.sync, r.combined_total_count) for r in got] == [(None, 0), (0, 1), (1, 2), (1, 2), (2, 7)]
+
+
+def put(spark, path, batch_id, rows):
+    df = spark.createDataFrame(rows, "user_id string, day int, n long")
+    df.write.parquet(f"{path}/batch_id={batch_id}")
+
+
+def test_compaction_rewrites_only_buckets_with_changed_keys(spark, tmp_path):
+    path = str(tmp_path / "store")
+    users = [f"u{k}" for k in range(40)]
+    put(spark, path, 0, [(u, 1, 1) for u in users])
+    everything = sinks.compact(spark, path, ["user_id"], ("day",), buckets=8)
+    assert everything == list(range(8))
+    put(spark, path, 1, [("u3", 2, 5)])
+    put(spark, path, 2, [("u3", 1, 9)])  # later batch, older day
+    touched = sinks.compact(spark, path, ["user_id"], ("day",), buckets=8)
+    assert len(touched) == 1
+    written = [d for d in os.listdir(f"{path}-snapshots/upto=2") if d.startswith("bucket=")]
+    assert written == [f"bucket={touched[0]}"]
+    values = {r.user_id: (r.day, r.n) for r in sinks.current_values(spark, path, ["user_id"], ("day",)).collect()}
+    assert values == {u: (1, 1) for u in users} | {"u3": (2, 5)}
+
+    one = sinks.current_value(spark, path, {"user_id": "u3"}, ("day",), buckets=8)
+    assert [(r.day, r.n) for r in one.collect()] == [(2, 5)]
+    assert {f.split("-snapshots/")[1].split("/part")[0] for f in one.inputFiles()} == {
+        f"upto=2/bucket={touched[0]}"
+    }
+    put(spark, path, 3, [("new", 7, 7)])
+    for user, want in (("new", [(7, 7)]), ("u4", [(1, 1)]), ("nobody", [])):
+        got = sinks.current_value(spark, path, {"user_id": user}, ("day",), buckets=8).collect()
+        assert [(r.day, r.n) for r in got] == want
+
+    sinks.compact(spark, path, ["user_id"], ("day",), expire=True, buckets=8)
+    assert not sinks.numbered_folders(spark, path, "batch_id")
+    after = {r.user_id: (r.day, r.n) for r in sinks.current_values(spark, path, ["user_id"], ("day",)).collect()}
+    assert after == values | {"new": (7, 7)}
+    assert sinks.compact(spark, path, ["user_id"], ("day",), buckets=8) == []
+
+
+def test_a_cut_off_compaction_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "store")
+    put(spark, path, 0, [("a", 1, 1), ("b", 1, 1)])
+    sinks.compact(spark, path, ["user_id"], ("day",), buckets=4)
+    put(spark, path, 1, [("a", 2, 2)])
+    sinks.compact(spark, path, ["user_id"], ("day",), buckets=4)
+    os.remove(f"{path}-snapshots/upto=1/_SUCCESS")
+    got = sinks.current_values(spark, path, ["user_id"], ("day",)).collect()
+    assert sorted((r.user_id, r.n) for r in got) == [("a", 2), ("b", 1)]
+    assert all("/upto=1/" not in f for f in sinks.current_values(spark, path, ["user_id"], ("day",)).inputFiles())
+
+
+def test_the_stream_compacts_by_itself(spark, make_tx, arriving, tmp_path):
+    rows = [r for r in random_rows(33, 60, span=60 * 30) if r[2] is not None]
+    out = str(tmp_path / "own")
+    rule = sinks.Compaction(["user_id"], ("day",), every=2, expire=True, buckets=4)
+    sinks.finish(
+        sinks.start_intraday(src.accepted(arriving(in_batches(rows, 5))), out, str(tmp_path / "cp-own"),
+                             trigger=sinks.WHAT_IS_THERE, compaction=rule)
+    )
+    assert sinks.numbered_folders(spark, f"{out}-snapshots", "upto")
+    assert len(sinks.numbered_folders(spark, out, "batch_id")) <= 2
+    got = sinks.current_values(spark, out, ["user_id"], ("day",)).collect()
+    newest = {}
+    for r in feat.intraday_totals(make_tx(rows)).collect():
+        newest[r.user_id] = max(newest.get(r.user_id, (r.day, 0)), (r.day, r.intraday_tx_count))
+    assert {r.user_id: r.intraday_tx_count for r in got} == {u: n for u, (_, n) in newest.items()}
+
+
+def test_three_sizes_from_one_table_of_panes(spark, make_tx, arriving, tmp_path):
+    rows = [r for r in random_rows(41, 80, users=2, span=90) if r[2] is not None]
+    markers = [tuple(r) for r in live.end_markers(make_tx(rows)).collect()]
+    batches = [*in_batches(rows, 3), [message((*r[:3], r[3], *r[4:])) for r in markers]]
+    tx = src.accepted(arriving(batches))
+    panes, cp = str(tmp_path / "panes"), str(tmp_path / "cp")
+    source = sinks.start_panes(tx, panes, cp, trigger=sinks.WHAT_IS_THERE)
+    sinks.finish(source)
+    assert sum(p["numInputRows"] for p in source.recentProgress) == len(rows) + 2
+    queries = sinks.start_windows(spark, panes, str(tmp_path), cp, sinks.WHAT_IS_THERE)
+    sinks.finish(*queries.values())
+    for size in (15, 30, 60):
+        got = spark.read.parquet(str(tmp_path / f"user_features_{size}m"))
+        want = feat.sliding_features(make_tx(rows), size)
+        plain = got.withColumns({c: got[c].cast("timestamp_ntz") for c in ("window_start", "window_end")})
+        assert listed(plain.select(*want.columns)) == listed(want)  # those of the last hour too

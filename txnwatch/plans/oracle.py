@@ -106,6 +106,10 @@ averaged AS (
   SELECT *, (combined_total_spend + amount) / (combined_total_count + 1) AS average FROM summed),
 judged AS (
   SELECT *, average > 0 AND amount > 2 * average AND amount > 500 AS is_alert FROM averaged)"""
+SYNC = "CAST(substr(transaction_id, 5) AS BIGINT) % 2"
+SCORED_SYNCED = SCORED.replace(
+    "LEFT JOIN intra USING (user_id)", f"LEFT JOIN intra ON intra.user_id = tx.user_id AND {SYNC} = 1"
+)
 SCORE = f"""SELECT transaction_id, user_id, amount, average AS current_15_day_avg, is_alert,
   CASE WHEN is_alert THEN 'Unusual spend: Amount ($' || {money("amount")}
     || ') is > 2x the 15-day moving average ($' || {money("average")} || ')'
@@ -366,6 +370,12 @@ FROM tx GROUP BY category""",
         "user_features_1h": hourly + "SELECT * FROM hourly",
         "score_transactions": with_(TX, *FEATURES, SCORED) + SCORE,
         "stream_score": with_(TX, *FEATURES, SCORED) + SCORE,
+        "stream_score_synced": with_(TX, *FEATURES, SCORED_SYNCED)
+        + SCORE.replace(" FROM judged", f", {SYNC} AS sync FROM judged"),
+        "stream_intraday_panes": users
+        + BY_DAY.replace(" FROM ", ", true AS growing FROM ", 1),
+        "stream_late_rows": tx
+        + "SELECT count(DISTINCT user_id) AS dropped, count(*) AS counted FROM tx",
         "enriched_alerts": alerts
         + f"""SELECT {four}, "timestamp", {FOUR} FROM (
   SELECT * FROM alerts ORDER BY "timestamp" DESC, transaction_id LIMIT 20) {LOOKUP}""",
@@ -524,6 +534,8 @@ JOIN e3 ON src3 = dst2 AND dst3 = src1 AND at3 > at2 AND at3 <= at2 + INTERVAL 6
         sql[f"sliding_features_{m}m"] = (
             with_(TX, sliding("s", m)) + f"SELECT {SLIDING_OUT} FROM s"
         )
+        if m > 15:
+            sql[f"stream_sliding_{m}m"] = sql[f"sliding_features_{m}m"]
     sql["stream_sliding_15m"] = (
         with_(TX, sliding("s", 15))
         + f"SELECT {SLIDING_OUT} FROM s"

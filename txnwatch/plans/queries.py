@@ -29,6 +29,7 @@ from txnwatch.sources.tables import (
 )
 from txnwatch.streaming import features as live
 from txnwatch.streaming import sinks
+from txnwatch.streaming.late import LateRows
 
 AS_OF = dt.datetime(2024, 1, 31)
 TODAY = dt.date(2024, 1, 30)
@@ -646,6 +647,90 @@ def stream_alerts(spark, sf_dir):
     return _run_append(spark, alerts, "stream_alerts").drop("timestamp")
 
 
+def _land_messages(tx: DataFrame, folder: str, files: int, mode: str = "append") -> None:
+    """Messages as ``files`` files or more, each with rows of all times."""
+    lines = src.encode_messages(tx).select(F.col("value").cast("string"))
+    lines.repartition(files).write.mode(mode).text(folder)
+
+
+@query("stream_intraday_panes")
+def stream_intraday_panes(spark, sf_dir):
+    """Day totals that fire a pane per micro-batch, over eight files of mixed times in four
+    batches: the last pane of each day, and whether its panes only grew."""
+    folder = shared_folder(spark, "stream_intraday_panes")
+    _land_messages(transactions(spark, sf_dir), f"{folder}/in", 8)
+    messages = src.stream_message_files(spark, f"{folder}/in", files_per_batch=2)
+    sinks.finish(
+        sinks.start_intraday(
+            src.accepted(src.decode_messages(messages)), f"{folder}/data", f"{folder}/checkpoint",
+            delay="400 days", trigger=sinks.WHAT_IS_THERE,
+        )
+    )
+    totals = ["intraday_tx_count", "intraday_total_spend"]
+    panes = sinks.pane_changes(spark, f"{folder}/data", ["user_id", "day"], totals)
+    last = panes.groupBy("user_id", "day").agg(
+        *(F.max(F.when(F.col("is_last"), F.col(t))).alias(t) for t in totals),
+        F.every(F.col("added_intraday_tx_count") > 0).alias("growing"),
+    )
+    return _plain_time(last, "day")
+
+
+@query("stream_late_rows")
+def stream_late_rows(spark, sf_dir):
+    """All transactions, then one of each user sent again ten days before the first: the rows
+    that were dropped as too late, by the table that the listener keeps, and those counted."""
+    folder = shared_folder(spark, "stream_late_rows")
+    tx = transactions(spark, sf_dir)
+    start = tx.agg(F.min("timestamp").alias("start"))
+    late = (
+        tx.groupBy("user_id").agg(F.min("transaction_id").alias("transaction_id"))
+        .join(tx.drop("user_id"), "transaction_id")
+        .crossJoin(F.broadcast(start))
+        .withColumn("timestamp", F.col("start") - F.expr("INTERVAL 10 DAYS"))
+        .select(*tx.columns)
+    )
+    listener = LateRows(spark, f"{folder}/late")
+    spark.streams.addListener(listener)
+    try:
+        for sent in (tx, late):
+            _land_messages(sent, f"{folder}/in", 4)
+            messages = src.stream_message_files(spark, f"{folder}/in")
+            running = sinks.start_intraday(
+                src.accepted(src.decode_messages(messages)), f"{folder}/data",
+                f"{folder}/checkpoint", trigger=sinks.WHAT_IS_THERE,
+            )
+            listener.wait(running)
+    finally:
+        spark.streams.removeListener(listener)
+    days = sinks.current_values(spark, f"{folder}/data", ["user_id", "day"])
+    counted = days.agg(F.sum("intraday_tx_count").alias("counted"))
+    dropped = listener.rows().agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"))
+    return dropped.crossJoin(F.broadcast(counted))
+
+
+@query("stream_score_synced")
+def stream_score_synced(spark, sf_dir):
+    """Even transactions arrive after the view's first sync (baselines only), odd ones after the
+    second (today's totals too); each is scored with the newest sync of its batch."""
+    folder = shared_folder(spark, "stream_score_synced")
+    tx = transactions(spark, sf_dir)
+    whole = user_features(spark, sf_dir)
+    today = ["intraday_tx_count", "intraday_total_spend"]
+    early = whole.withColumns({c: F.lit(0).cast(whole.schema[c].dataType) for c in today})
+    odd = F.pmod(F.regexp_extract("transaction_id", r"(\d+)$", 1).cast("bigint"), F.lit(2))
+    for sync, features in enumerate((early, whole)):
+        sync_feature_view(features, f"{folder}/view", sync)
+        _land_messages(tx.where(odd == sync), f"{folder}/in", 4)
+        messages = src.stream_message_files(spark, f"{folder}/in", files_per_batch=2)
+        sinks.finish(
+            sinks.start_synced_scoring(
+                src.accepted(src.decode_messages(messages)), f"{folder}/view", f"{folder}/data",
+                f"{folder}/checkpoint", trigger=sinks.WHAT_IS_THERE,
+            )
+        )
+    return spark.read.parquet(f"{folder}/data").drop("timestamp", "batch_id")
+
+
 @query("stream_score")
 def stream_score(spark, sf_dir):
     # the view is written once, so a micro-batch reads a small table and not the history
@@ -661,6 +746,33 @@ def stream_sliding_15m(spark, sf_dir):
     return _plain_time(closed.drop("last_updated"), "window_start", "window_end")
 
 
+def _windows_of_panes(size: int) -> Query:
+    """All windows of one size, those of the last hour too, from a table of minute panes."""
+
+    def run(spark, sf_dir):
+        name = f"stream_sliding_{size}m"
+        folder = shared_folder(spark, name)
+        tx = transactions(spark, sf_dir)
+        _land_messages(tx, f"{folder}/in", 8)
+        _land_messages(live.end_markers(tx), f"{folder}/in", 1)
+        messages = src.accepted(src.decode_messages(src.stream_message_files(spark, f"{folder}/in")))
+        sinks.finish(
+            sinks.start_panes(messages, f"{folder}/panes", f"{folder}/cp", trigger=sinks.WHAT_IS_THERE)
+        )
+        windows = sinks.start_windows(
+            spark, f"{folder}/panes", folder, f"{folder}/cp", sinks.WHAT_IS_THERE, (size,)
+        )
+        sinks.finish(*windows.values())
+        closed = spark.read.parquet(f"{folder}/user_features_{size}m")
+        return _plain_time(closed.drop("last_updated"), "window_start", "window_end")
+
+    return run
+
+
+for _size in (30, 60):
+    query(f"stream_sliding_{_size}m")(_windows_of_panes(_size))
+
+
 def _intraday(spark: SparkSession, sf_dir: str, name: str) -> str:
     folder = shared_folder(spark, name)
     tx = src.accepted(arriving(spark, sf_dir))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.operators.keyed import latest_per_key
@@ -39,6 +39,15 @@ def write_clustered(
     writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
+def numbered_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers N of the complete folders ``path/name=N``, in order."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*/_SUCCESS")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(pattern) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
 def sync_feature_view(features: DataFrame, path: str, sync_id: int) -> DataFrame:
     """Write the view's rows as the snapshot ``sync_id`` and return them as a table.
 
@@ -49,6 +58,16 @@ def sync_feature_view(features: DataFrame, path: str, sync_id: int) -> DataFrame
     return features.sparkSession.read.schema(features.schema).parquet(folder)
 
 
+def newest_sync(spark: SparkSession, path: str) -> tuple[int | None, DataFrame | None]:
+    """Id and rows of the newest sync that was written whole; two times None before the first.
+
+    A sync that is being written, or was cut off, has no success mark and is passed over."""
+    syncs = numbered_folders(spark, path.rstrip("/"), "sync")
+    if not syncs:
+        return None, None
+    return syncs[-1], spark.read.parquet(f"{path.rstrip('/')}/sync={syncs[-1]}")
+
+
 def feature_view(history: DataFrame, key: str = "user_id") -> DataFrame:
     """Newest row per key of an appended feature table."""
     return latest_per_key(history, [key], ["feature_timestamp"])

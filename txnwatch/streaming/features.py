@@ -22,25 +22,55 @@ def timed(tx: DataFrame, delay: str = DELAY) -> DataFrame:
     )
 
 
-def sliding_features_stream(tx: DataFrame, size: int, delay: str = DELAY) -> DataFrame:
-    """Sliding-window statistics per user, for append mode.
+#: The user of a marker: a row that only moves the watermark.
+END_USER = "\x00end"
+#: Columns of ``minute_panes``.
+PANES = (
+    "minute TIMESTAMP, user_id STRING, kind INT, value STRING, n BIGINT, known BIGINT, "
+    "spend DECIMAL(38,6), near BIGINT, peak DOUBLE"
+)
+
+
+def end_markers(tx: DataFrame, hours: int = 2) -> DataFrame:
+    """Two markers for the end of a bounded run of transactions ``tx``, ``hours`` and twice that
+    after its last: the second closes the first one's pane, and that pane the last windows.
+    ``hours`` must exceed the longest window and the delay of late rows."""
+    last = tx.agg(F.max("timestamp").alias("timestamp")).where("timestamp IS NOT NULL")
+    times = F.array(*(F.col("timestamp") + F.expr(f"INTERVAL {hours * k} HOURS") for k in (1, 2)))
+    own = {"transaction_id": "end", "user_id": END_USER}
+    return last.select(F.explode(times).alias("timestamp")).select(
+        *(
+            F.col(c)
+            if c == "timestamp"
+            else F.lit(0.0).alias(c)
+            if c == "amount"
+            else F.lit(own.get(c)).cast("string").alias(c)
+            for c in tx.columns
+        )
+    )
 
-    Three aggregations in a row, with built-in functions only:
 
-    1. one-minute panes per (user, kind, value), so a busy user shrinks before windows;
-    2. windows of ``size`` minutes per (user, kind, value);
-    3. windows per user.
+def minute_panes(tx: DataFrame, delay: str = DELAY) -> DataFrame:
+    """One-minute panes per (minute, user, kind, value), for append mode: a busy user shrinks
+    before windows.
 
     Kind 0 carries the amounts; kinds 1 and 2 carry one row per merchant and country, so
-    distinct counts are exact and no state row holds a set.
-    """
+    distinct counts are exact and no state row holds a set. A pane is emitted once, when
+    rows of its minute would be too late, so panes come in the order of their minutes."""
     rows = (
         timed(tx, delay)
         .select("timestamp", "user_id", F.inline(transaction_parts()))
         .filter(USED)
     )
     panes = rows.groupBy(F.window("timestamp", "1 minute"), "user_id", "kind", "value").agg(*part_sums())
-    spans = F.window(F.window_time("window"), f"{size} minutes", "1 minute")
+    return panes.withColumn("window", F.window_time("window")).withColumnRenamed("window", "minute")
+
+
+def windows_of_panes(panes: DataFrame, size: int) -> DataFrame:
+    """Sliding-window statistics per user from ``minute_panes`` (or a table of them, with a
+    watermark on ``minute``), for append mode: windows of ``size`` minutes per (user, kind,
+    value), then windows per user. Markers have no windows."""
+    spans = F.window("minute", f"{size} minutes", "1 minute")
     windows = panes.groupBy(spans, "user_id", "kind", "value").agg(*part_sums())
     total = F.when(F.col("known") > 0, dollars(F.col("spend")))
     return (
@@ -49,7 +79,10 @@ def sliding_features_stream(tx: DataFrame, size: int, delay: str = DELAY) -> Dat
             *part_sums(),
             F.count_if(F.col("kind") == MERCHANT).alias("merchants"),
             F.count_if(F.col("kind") == COUNTRY).alias("countries"),
+            # an aggregate, as a filter on the user would go below the watermark
+            F.bool_or(F.col("user_id") == END_USER).alias("marker"),
         )
+        .where("NOT marker")
         .select(
             "user_id",
             F.col("window.start").alias("window_start"),
@@ -66,6 +99,12 @@ def sliding_features_stream(tx: DataFrame, size: int, delay: str = DELAY) -> Dat
     )
 
 
+def sliding_features_stream(tx: DataFrame, size: int, delay: str = DELAY) -> DataFrame:
+    """Sliding-window statistics per user in one query, for append mode. Several sizes are
+    cheaper from one table of panes (``sinks.start_panes``, ``sinks.start_windows``)."""
+    return windows_of_panes(minute_panes(tx, delay), size)
+
+
 def intraday_totals_stream(tx: DataFrame, delay: str = DAY_DELAY) -> DataFrame:
     """Running count and spend per user and UTC day; update mode re-emits changed days."""
     return (
@@ -90,8 +129,8 @@ def alerts_stream(tx: DataFrame) -> DataFrame:
 
 
 def score_stream(tx: DataFrame, features: DataFrame) -> DataFrame:
-    """Score arriving transactions against a feature table; append mode.
+    """Score arriving transactions against one state of a feature table; append mode.
 
-    The feature table is read again for every micro-batch, so it may be replaced meanwhile.
+    ``sinks.start_synced_scoring`` follows a view that is synced while the query runs.
     """
     return score(tx, features)

@@ -197,3 +197,14 @@ def test_small_fractions_and_large_amounts_are_summed_exactly(make_tx):
     windows = {r.user_id: r.total_spend for r in feat.sliding_features(tx, 15).collect()}
     days = {r.user_id: r.intraday_total_spend for r in feat.intraday_totals(tx).collect()}
     assert hour == windows == days == want
+
+
+@pytest.mark.parametrize("size", [15, 60])
+@pytest.mark.parametrize("when", [at(150), at(150) + dt.timedelta(seconds=40), at(3), at(-5)])
+def test_newest_windows_are_those_of_all_windows(make_tx, size, when):
+    tx = make_tx(random_rows(12, 80, span=200))
+    order = lambda r: (-r["window_end"].timestamp(), r["user_id"])
+    whole = [r for r in as_dicts(feat.sliding_features(tx, size)) if r["window_end"] <= when]
+    bounded = as_dicts(feat.newest_windows(tx, size, when, 5))
+    assert sorted(bounded, key=order)[:5] == sorted(whole, key=order)[:5]
+    assert len(bounded) <= len(whole) and all(b in whole for b in bounded)

@@ -1,6 +1,6 @@
 """Graph patterns: planted rows, plain Python on random graphs, and edge cases."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from conftest import START, as_dicts, at, random_rows, tx_row
@@ -232,3 +232,37 @@ def test_times_are_kept_to_the_microsecond(make_tx):
         tx_row(3, "c", 1.0, at(0) + 2 * tick, "d"),
     ]
     assert int(paths.layering_sources(edges_of(make_tx, rows)).collect()[0]["paths"]) == 1
+
+
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_cycle_counts_of_a_busy_pair(make_tx, seed):
+    rows = random_rows(seed, 60, users=3, span=60, whole_minutes=True)
+    busy = [tx_row(500 + k, "u0", 1.0, (k * 7) % 60, "u1") for k in range(40)]
+    rows = rows + busy
+    want = Counter((a[1], b[1], c[1]) for a, b, c in brute_cycles(rows))
+    got = paths.circular_counts(edges_of(make_tx, rows)).collect()
+    assert {tuple(r)[:3]: int(r.cycles) for r in got} == want and max(want.values()) > 40
+
+
+def test_cycle_counts_of_nothing(make_tx):
+    assert paths.circular_counts(edges_of(make_tx, [])).count() == 0
+    assert paths.circular_counts(edges_of(make_tx, [tx_row(1, "a", 1.0, 0, "b")])).count() == 0
+
+
+def test_dangling_transfers_name_both_ends(spark, make_tx):
+    rows = [tx_row(k, "hot", 1.0, k, "gone") for k in range(30)]
+    rows += [tx_row(40, "hot", 1.0, 0, None), tx_row(41, "gone", 1.0, 0, "gone"), tx_row(42, "hot", 1.0, 0, "hot")]
+    rows += [tx_row(43, None, 1.0, 0, "hot"), tx_row(44, None, 1.0, 0, None)]
+    accounts = spark.createDataFrame([("hot", "Retail"), ("hot", "Merchant/P2P"), (None, "Retail")],
+                                     "account_id string, account_type string")
+    owners = spark.createDataFrame([("o1", "Low Risk")], "entity_id string, risk_level string")
+    owns = spark.createDataFrame([("o1", "hot"), ("o2", "hot"), ("o1", "lost")],
+                                 "owner_entity string, owned_account string")
+    g = graph.TxnGraph(accounts, owners, edges_of(make_tx, rows), owns)
+    got = {r.transaction_id: (r.source_missing, r.target_missing) for r in g.dangling_transfers().collect()}
+    want = {f"t{k:04d}": (False, True) for k in range(30)}
+    want |= {"t0040": (False, True), "t0041": (True, True), "t0043": (True, False), "t0044": (True, True)}
+    assert got == want
+    kinds = [tuple(r) for r in g.dangling().where("kind = 'ownership'").collect()]
+    assert sorted(k[2:] for k in kinds) == [("o1", "lost", False, True), ("o2", "hot", True, False)]
+    assert g.dangling().count() == len(want) + 2

@@ -41,7 +41,7 @@ def test_scans_read_only_the_columns_they_need(spark, small, name, columns):
     assert f"ReadSchema: {columns}" in plan_of(QUERIES[name](spark, small))
 
 
-@pytest.mark.parametrize("name", ["baseline_14d", "user_features_1h", "category_summary"])
+@pytest.mark.parametrize("name", ["baseline_14d", "user_features_1h", "category_summary", "latest_per_table"])
 def test_time_filters_reach_the_scan(spark, small, name):
     plan = plan_of(QUERIES[name](spark, small))
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,", plan)

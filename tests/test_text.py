@@ -1,4 +1,7 @@
+import os
 import sys
+import uuid
+from collections import Counter
 
 from conftest import tx_row
 from pyspark import cloudpickle
@@ -93,3 +96,68 @@ def test_ideation_prompts_in_both_wordings(spark):
         assert set(got) == {"t1", "t2"}
         assert "Table: t1\nWhat it holds: about t1\n" in got["t1"]
         assert "What it holds: N/A\n" in got["t2"]
+
+
+def counting(folder, failing=None, answer="a"):
+    """A model that leaves a file per prompt it is asked, and breaks down on one prompt."""
+
+    def make():
+        def model(batch, **options):
+            for p in batch:
+                (folder / f"{uuid.uuid4().hex}").write_text(p)
+            if failing in batch:
+                os._exit(1)  # takes the whole task with it
+            return [{"text": f"{answer}:{p}", "status": ""} for p in batch]
+
+        return model
+
+    return make
+
+
+def asked(folder):
+    return Counter(f.read_text() for f in folder.iterdir())
+
+
+def test_equal_prompts_are_sent_once_and_answers_are_kept(spark, tmp_path):
+    calls, answers = tmp_path / "calls", str(tmp_path / "answers")
+    calls.mkdir()
+    df = prompts(spark, ["p", "q", "p", None, "p", ""])
+    once = {"answers": answers, "model_name": "m", "wave": 2}
+    got = rows(text.generate_text_once(df, counting(calls), **once))
+    assert got == {0: ("a:p", ""), 1: ("a:q", ""), 2: ("a:p", ""), 3: (None, "no prompt"),
+                   4: ("a:p", ""), 5: ("a:", "")}
+    assert asked(calls) == {"p": 1, "q": 1, "": 1}
+    more = prompts(spark, ["q", "new"])
+    got = rows(text.generate_text_once(more, counting(calls, answer="b"), **once))
+    assert got == {0: ("a:q", ""), 1: ("b:new", "")}
+    # other options and another model are other questions; how to send them is not
+    text.generate_text_once(more, counting(calls), tasks=1, batch_size=1, **once).collect()
+    assert asked(calls)["q"] == 1
+    text.generate_text_once(more, counting(calls), max_output_tokens=9, **once).collect()
+    text.generate_text_once(more, counting(calls), **{**once, "model_name": "n"}).collect()
+    assert asked(calls)["q"] == 3
+
+
+def test_a_failed_task_pays_for_its_wave_only(spark, tmp_path):
+    calls, answers = tmp_path / "calls", str(tmp_path / "answers")
+    calls.mkdir()
+    df = prompts(spark, [f"p{k}" for k in range(40)])
+    once = {"answers": answers, "model_name": "m", "wave": 8}
+    try:
+        text.generate_text_once(df, counting(calls, failing="p7"), **once)
+        raise AssertionError("the broken model must end the run")
+    except Exception as error:  # noqa: BLE001 - the worker's end, in Spark's words
+        assert "must end" not in str(error)
+    before = asked(calls)
+    stored = set(text._answered(spark, answers).select("recommendation").toPandas()["recommendation"])
+    got = rows(text.generate_text_once(df, counting(calls), **once))
+    assert len(got) == 40 and all(s == "" for _, s in got.values())
+    again = {p for p, n in asked(calls).items() if n > before[p]}
+    assert not again & {a.removeprefix("a:") for a in stored}
+
+
+def test_errors_are_not_kept(spark, tmp_path):
+    df = prompts(spark, ["bad", "good"])
+    once = {"answers": str(tmp_path / "answers"), "model_name": "m", "pause": 0.0, "batch_size": 1}
+    assert rows(text.generate_text_once(df, fragile, **once)) == {0: (None, "no answer"), 1: ("GOOD", "")}
+    assert rows(text.generate_text_once(df, echo, **once)) == {0: ("bad/None", ""), 1: ("GOOD", "")}

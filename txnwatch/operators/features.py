@@ -37,6 +37,24 @@ from txnwatch.operators.timeline import OPENING_RANK
 from txnwatch.schemas import BASELINE_DAYS
 
 
+def newest_windows(tx: DataFrame, size: int, as_of: dt.datetime, n: int = 5) -> DataFrame:
+    """Windows of ``size`` minutes closed at ``as_of``, among them the newest ``n``.
+
+    Every minute of a user with a transaction has a window that ends right after it, so the
+    ``n`` newest such minutes bound the windows asked for. They are looked up first (one scan of
+    two columns), and windows are built from the transactions they can hold only."""
+    dtype, closed = type_of(tx), as_of.replace(second=0, microsecond=0)
+    minutes = tx.filter(F.col("timestamp") < instant(closed, dtype)).select(
+        "user_id", minute_of(F.col("timestamp")).alias("minute")
+    )
+    last = minutes.distinct().orderBy(F.desc("minute")).limit(n).agg(F.min("minute")).first()[0]
+    ends = dt.datetime(1970, 1, 1) + dt.timedelta(minutes=(last or 0) + 1)
+    since = instant(ends - dt.timedelta(minutes=size), dtype)
+    return sliding_features(tx.filter(F.col("timestamp") >= since), size).filter(
+        F.col("window_end").between(instant(ends, dtype), instant(closed, dtype))
+    )
+
+
 def sliding_features(tx: DataFrame, size: int) -> DataFrame:
     """Statistics per user and sliding window of ``size`` minutes, one window per minute.
 

@@ -88,6 +88,52 @@ class TxnGraph:
         )
         return edges.join(known, ["owner_entity", "owned_account"], "left_anti")
 
+    def dangling_transfers(self) -> DataFrame:
+        """Transfers with an end that is no account: transaction_id, both ends, and which of them
+        are missing. An end without a name is missing too.
+
+        Only distinct ends are compared with the accounts, so a busy account is reduced before
+        the shuffle; transfers are then looked up among the ends found missing, which Spark
+        broadcasts if they are few and otherwise splits where one of them has very many."""
+        known = self.accounts.select(F.col("account_id").alias("end")).distinct()
+        edges = self.transfers.select("transaction_id", "source_account", "target_account")
+        ends = edges.select(F.explode(F.array("source_account", "target_account")).alias("end"))
+        missing = ends.distinct().join(known, "end", "left_anti")
+        for side in ("source", "target"):
+            lost = missing.select(F.col("end").alias(f"{side}_end"), F.lit(True).alias(f"{side}_lost"))
+            edges = edges.join(
+                lost, F.col(f"{side}_account").eqNullSafe(F.col(f"{side}_end")), "left"
+            )
+        flags = {f"{side}_missing": F.coalesce(f"{side}_lost", F.lit(False)) for side in ("source", "target")}
+        return (
+            edges.withColumns(flags)
+            .filter("source_missing OR target_missing")
+            .select("transaction_id", "source_account", "target_account", *flags)
+        )
+
+    def dangling(self) -> DataFrame:
+        """All edges that refer to a missing node: kind, id (of a transfer), both ends, and which
+        are missing."""
+        owners = self.entities.select(F.col("entity_id").alias("owner")).distinct()
+        accounts = self.accounts.select(F.col("account_id").alias("account")).distinct()
+        lost = self.dangling_ownership().join(owners.withColumn("owner_known", F.lit(True)),
+                                              F.col("owner_entity") == F.col("owner"), "left")
+        lost = lost.join(accounts.withColumn("account_known", F.lit(True)),
+                         F.col("owned_account") == F.col("account"), "left")
+        ownership = lost.select(
+            F.lit("ownership").alias("kind"),
+            F.lit(None).cast("string").alias("edge_id"),
+            F.col("owner_entity").alias("from_id"),
+            F.col("owned_account").alias("to_id"),
+            F.col("owner_known").isNull().alias("from_missing"),
+            F.col("account_known").isNull().alias("to_missing"),
+        )
+        transfers = self.dangling_transfers().select(
+            F.lit("transfer"), "transaction_id", "source_account", "target_account",
+            "source_missing", "target_missing",
+        )
+        return ownership.union(transfers)
+
 
 def smurfing_sinks(edges: DataFrame, more_than: int = SMURFING_MIN_DEPOSITS) -> DataFrame:
     """Accounts with more than three deposits just below the reporting limit."""

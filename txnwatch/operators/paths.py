@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.functions.money import EXACT, dollars, exact
-from txnwatch.functions.timing import MINUTE, bucket, micros
+from txnwatch.functions.timing import HOUR, MINUTE, bucket, micros
 from txnwatch.operators.keyed import top
 from txnwatch.operators.timeline import running_max, running_sums
 from txnwatch.schemas import LAYERING_MIN_AMOUNT
@@ -381,6 +381,45 @@ def circular_transfers(transfers: DataFrame) -> DataFrame:
     return _closed(_middle(edges, _timed_walks(edges)), edges)
 
 
+def circular_counts(transfers: DataFrame) -> DataFrame:
+    """Number of cycles a -> b -> c -> a in time order per account triple.
+
+    Counted by running sums along each closed walk, not by listing cycles: a transfer b -> c
+    continues as many beginnings as there are earlier ones a -> b, a transfer c -> a closes as
+    many as earlier ones b -> c continue. Work grows with the transfers along closed walks, while
+    the cycles of a busy triple grow with the product of its three pairs."""
+    edges = _edges(transfers)
+    walks = written(_timed_walks(edges), "timed_walks")
+
+    def along(src: str, dst: str) -> DataFrame:
+        fits = (F.col("src") == F.col(src)) & (F.col("dst") == F.col(dst))
+        inside = F.col("at").between(F.col("first_at"), F.col("last_at"))
+        found = edges.select("src", "dst", "at").join(walks, fits & inside)
+        return found.select(F.struct("a", "b", "c").alias("walk"), "at")
+
+    def earlier(given: DataFrame, asking: DataFrame) -> DataFrame:
+        """``asking`` with the sum ``n`` of ``given`` rows of the walk that are earlier."""
+        none = F.lit(0).cast(WIDE)
+        line = given.select("walk", "at", F.lit(1).alias("rank"), F.col("n").cast(WIDE).alias("n"))
+        asked = asking.select("walk", "at", F.lit(0).alias("rank"), none.alias("n"))
+        summed = running_sums(line.unionByName(asked), "walk", ["n"], HOUR, WIDE)
+        return summed.filter(F.col("rank") == 0).select("walk", "at", "n")
+
+    begun = along("a", "b").withColumn("n", F.lit(1))
+    closed = earlier(earlier(begun, along("b", "c")), along("c", "a"))
+    return (
+        closed.groupBy("walk")
+        .agg(F.sum("n").cast(WIDE).alias("cycles"))
+        .filter(F.col("cycles") > 0)
+        .select(
+            F.col("walk.a").alias("originating_account"),
+            F.col("walk.b").alias("intermediary_1"),
+            F.col("walk.c").alias("intermediary_2"),
+            "cycles",
+        )
+    )
+
+
 def rapid_cycles(transfers: DataFrame, max_gap: int) -> DataFrame:
     """All cycles a -> b -> c -> a whose transfers follow each other within ``max_gap``
     microseconds. Accounts are split by time, so work is bounded by what passes through an

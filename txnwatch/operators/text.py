@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnwatch.functions import wording as W
 from txnwatch.functions.money import money_text
+from txnwatch.session import local_rows, written
 
 
 def _count(column: str) -> Column:
@@ -144,6 +147,57 @@ def generate_text(
     return rows.mapInPandas(run, schema)
 
 
+ANSWERS = "prompt_key STRING, " + ", ".join(f"{name} STRING" for name in RESULT_FIELDS)
+
+
+def generate_text_once(
+    rows: DataFrame,
+    make_model: Callable[[], Model],
+    answers: str,
+    model_name: str,
+    wave: int = 10_000,
+    **options: Any,
+) -> DataFrame:
+    """``generate_text`` with a table of answers in the folder ``answers``, keyed by model, prompt
+    and options: prompts that it holds are not sent again, and equal prompts are sent once.
+
+    New prompts are sent in waves of about ``wave`` prompts, each stored when it is whole. A
+    run that fails, or is repeated, pays for the wave it was in only. Errors are not stored,
+    so they are tried again by the next run and have no answer in this one. Options of
+    ``generate_text`` itself (``batch_size``, ``tasks``, ``retries``, ``pause``) are no part of the key."""
+    spark = rows.sparkSession
+    own = {k: options.pop(k) for k in ("batch_size", "tasks", "retries", "pause") if k in options}
+    salt = json.dumps([model_name, sorted(options.items())])
+    key = F.sha2(F.concat(F.lit(salt), F.col("prompt")), 256)
+    asked = rows.filter("prompt IS NOT NULL").select(key.alias("prompt_key"), "prompt")
+    new = asked.groupBy("prompt_key").agg(F.min("prompt").alias("prompt"))
+    new = written(new.join(_answered(spark, answers), "prompt_key", "left_anti"), "prompts")
+    waves = -(-new.count() // wave)
+    for number in range(waves):
+        part = new.filter(F.pmod(F.xxhash64("prompt_key"), F.lit(waves)) == number)
+        made = generate_text(part, make_model, **own, **options).drop("prompt")
+        made.filter("status IS NULL OR NOT startswith(status, 'error')").write.parquet(
+            f"{answers.rstrip('/')}/wave={uuid.uuid4().hex}"
+        )
+    found = _answered(spark, answers)
+    keyed = rows.withColumn("_prompt_key", key)
+    joined = keyed.join(found, F.col("_prompt_key") == F.col("prompt_key"), "left")
+    nothing = F.when(F.col("prompt").isNull(), F.lit("no prompt")).otherwise(F.lit("no answer"))
+    status = F.when(F.col("prompt_key").isNull(), nothing).otherwise(F.col("status"))
+    return joined.withColumn("status", status).drop("_prompt_key", "prompt_key")
+
+
+def _answered(spark: SparkSession, answers: str) -> DataFrame:
+    """Stored answers of whole waves, one per key."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{answers.rstrip('/')}/wave=*/_SUCCESS")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    waves = [str(f.getPath().getParent()) for f in files.globStatus(pattern) or []]
+    if not waves:
+        return local_rows(spark, [], ANSWERS)
+    return spark.read.schema(ANSWERS).parquet(*waves).dropDuplicates(["prompt_key"])
+
+
 def _ask(
     model: Model, prompts: list, options: dict[str, Any], retries: int = 2, pause: float = 0.5
 ) -> list[dict[str, Any]]:

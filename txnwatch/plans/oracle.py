@@ -304,6 +304,7 @@ def all_oracles() -> dict[str, str]:
 SELECT user_id, baseline_tx_count, baseline_total_spend, feature_timestamp FROM history
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY feature_timestamp DESC) = 1""",
         "table_descriptions": with_(*DESCRIBED) + "SELECT * FROM descriptions",
+        "catalog_descriptions": with_(*DESCRIBED) + "SELECT * FROM descriptions",
         "column_profile": with_(TX, PROFILE)
         + "SELECT column_name, row_count, null_count, distinct_count FROM profile",
         "stateless_alerts": with_(TX, ALERTS) + f"SELECT {four} FROM alerts",
@@ -403,10 +404,23 @@ SELECT *, baseline_total_spend + intraday_total_spend AS combined_spend,
         "transaction_edges": tx
         + """SELECT user_id AS source_account, merchant AS target_account, amount, "timestamp",
   transaction_id, currency, country FROM tx""",
-        "dangling_edges": with_(TX, OWNERS, NODES)
-        + """SELECT owner_entity, owned_account FROM owns
-WHERE owned_account NOT IN (SELECT account_id FROM nodes)
-   OR owner_entity NOT IN (SELECT entity_id FROM ents)""",
+        "dangling_edges": with_(TX, OWNERS)
+        + """, nodes AS (SELECT account_id FROM (SELECT user_id AS account_id FROM tx WHERE early
+    UNION SELECT merchant FROM tx WHERE early) WHERE account_id IS NOT NULL),
+sent AS (SELECT transaction_id, user_id AS a,
+    CASE WHEN category <> 'signup' THEN merchant END AS b FROM tx)
+SELECT 'transfer' AS kind, transaction_id AS edge_id, a AS from_id, b AS to_id,
+  a NOT IN (SELECT account_id FROM nodes) AS from_missing,
+  b IS NULL OR b NOT IN (SELECT account_id FROM nodes) AS to_missing
+FROM sent WHERE from_missing OR to_missing
+UNION ALL SELECT 'ownership', NULL, owner_entity, owned_account,
+  owner_entity NOT IN (SELECT entity_id FROM ents) AS f,
+  owned_account NOT IN (SELECT account_id FROM nodes) AS t FROM owns WHERE f OR t""".replace(
+            "WHERE early", "WHERE \"timestamp\" < TIMESTAMP '2024-01-01 06:00:00'"
+        ),
+        "circular_counts": with_(TX, CYCLES)
+        + """SELECT originating_account, intermediary_1, intermediary_2, count(*) AS cycles
+FROM cycles GROUP BY ALL""",
         "layering_paths": with_(TX, CHAINS)
         + f"""SELECT account_a AS first_account, count(*) AS paths,
   {spend("amount_1")} AS total_first_amount FROM chains GROUP BY account_a""",
@@ -528,6 +542,7 @@ JOIN e3 ON src3 = dst2 AND dst3 = src1 AND at3 > at2 AND at3 <= at2 + INTERVAL 6
         f"SELECT {_sql(W.GRAPH_PROMPT.split()[0])} AS heading, summary FROM ({sql['graph_verdict']})"
     )
     sql["table_round_trip"] = users + BY_DAY
+    sql["generate_text_once"] = sql["generate_text"]
     sql["stream_rejected"] = """SELECT left('{"transaction_id":"txn_' || event_id
   || '","user_id":"user_' || user_id, 30) AS message FROM events WHERE event_id % 6 = 5"""
     for m in (15, 30, 60):

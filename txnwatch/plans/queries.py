@@ -18,7 +18,8 @@ from txnwatch.schemas import TABLES
 from txnwatch.session import local_rows, shared_folder
 from txnwatch.sources import planted
 from txnwatch.sources import transactions as src
-from txnwatch.sources.catalog import create_table
+from txnwatch.sources.catalog import create_table, describe_table
+from txnwatch.sources.catalog import table_descriptions as listed_descriptions
 from txnwatch.sources.tables import (
     append_files,
     append_to_table,
@@ -33,6 +34,7 @@ from txnwatch.streaming.late import LateRows
 
 AS_OF = dt.datetime(2024, 1, 31)
 TODAY = dt.date(2024, 1, 30)
+FIRST_HOURS = dt.datetime(2024, 1, 1, 6)
 # Fixture: the high-risk owner holds a merchant of the event table.
 OWNERSHIP_ROWS = (
     ("Jane_Doe", "Shell_Corp_1", "UBO_extracted_from_PDF"),
@@ -155,15 +157,19 @@ def feature_view_snapshot(spark, sf_dir):
     return view.select("user_id", "baseline_tx_count", "baseline_total_spend", "feature_timestamp")
 
 
-@query("table_descriptions")
-def table_descriptions(spark, sf_dir):
+def described_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     tx = transactions(spark, sf_dir)
-    tables = {
+    return {
         "raw_transactions": tx,
         "aml_alerts": reports.stateless_alerts(tx),
         "account_nodes": graph.account_nodes(tx),
         "user_features": hourly(spark, sf_dir),
     }
+
+
+@query("table_descriptions")
+def table_descriptions(spark, sf_dir):
+    tables = described_tables(spark, sf_dir)
     rows = [
         df.agg(F.count(F.lit(1)).cast("string").alias("n")).select(
             F.lit(name).alias("table_name"),
@@ -178,6 +184,19 @@ def table_descriptions(spark, sf_dir):
     return result
 
 
+@query("catalog_descriptions")
+def catalog_descriptions(spark, sf_dir):
+    """The same tables written to a database, described there, and listed from its catalog."""
+    folder = shared_folder(spark, "catalog")
+    database = f"txnwatch_{folder.rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{folder}'")
+    for name, df in described_tables(spark, sf_dir).items():
+        replace_table(df, f"{database}.{name}")
+        rows = spark.table(f"{database}.{name}").count()
+        describe_table(spark, f"{database}.{name}", f"{TABLES[name][1]} Rows: {rows}.")
+    return listed_descriptions(spark, database)
+
+
 @query("column_profile")
 def column_profile(spark, sf_dir):
     return profile.column_profile(transactions(spark, sf_dir))
@@ -248,9 +267,8 @@ def newest_transactions(spark, sf_dir):
 @query("latest_per_table")
 def latest_per_table(spark, sf_dir):
     tx = transactions(spark, sf_dir)
-    closed = F.col("window_end") <= instant(AS_OF, type_of(tx))
     return reports.newest_per_table(
-        {f"user_features_{m}m": feat.sliding_features(tx, m).filter(closed) for m in (15, 30, 60)}
+        {f"user_features_{m}m": feat.newest_windows(tx, m, AS_OF, 5) for m in (15, 30, 60)}
     )
 
 
@@ -358,7 +376,18 @@ def transaction_edges(spark, sf_dir):
 
 @query("dangling_edges")
 def dangling_edges(spark, sf_dir):
-    return txn_graph(spark, sf_dir).dangling_ownership()
+    """Edges of the whole time between the accounts known after six hours; payments of
+    category "signup" arrive without a receiver."""
+    tx = transactions(spark, sf_dir)
+    known = tx.filter(F.col("timestamp") < instant(FIRST_HOURS, type_of(tx)))
+    receiver = F.when(F.col("category") != "signup", F.col("merchant"))
+    whole = txn_graph(spark, sf_dir)
+    return graph.TxnGraph(
+        graph.account_nodes(known),
+        whole.entities,
+        graph.transaction_edges(tx.withColumn("merchant", receiver)),
+        whole.owns,
+    ).dangling()
 
 
 @query("layering_paths")
@@ -398,6 +427,12 @@ def circular_transfers(spark, sf_dir):
     )
 
 
+@query("circular_counts")
+def circular_counts(spark, sf_dir):
+    counted = paths.circular_counts(edges(spark, sf_dir))
+    return counted.withColumn("cycles", F.col("cycles").cast("bigint"))
+
+
 @query("circular_6h")
 def circular_6h(spark, sf_dir):
     """Every cycle whose transfers follow each other within six hours."""
@@ -491,6 +526,18 @@ def generate_text(spark, sf_dir):
     return recommendations(spark, sf_dir)
 
 
+@query("generate_text_once")
+def generate_text_once(spark, sf_dir):
+    """The same prompts through a table of answers, run twice: the second run sends none, and its
+    model would answer otherwise."""
+    prompts = text.recommendation_prompts(multi_window(spark, sf_dir))
+    answers = f"{shared_folder(spark, 'answers')}/table"
+    options = {"max_output_tokens": 256, "temperature": 0.3}
+    for make in (make_stub, make_counting_stub):
+        made = text.generate_text_once(prompts, make, answers, "stub", wave=100, **options)
+    return made.drop("prompt")
+
+
 @query("recent_recommendations")
 def recent_recommendations(spark, sf_dir):
     made = recommendations(spark, sf_dir).withColumn("generated_at", F.lit(AS_OF))

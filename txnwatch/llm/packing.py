@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -36,24 +37,71 @@ from txnwatch.llm.tables import fresh, kept
 CAPACITY, END = 4096, 1
 RATE, NEAR, ROUNDS, WALKS, LEAST = 0.1, 0.01, 80, 48, (0.0, 0.1, 0.5, 1.0)
 #: Bytes encoded at a time; words a task remembers, and the longest of them in bytes.
-SLAB, MAX_WORDS, MAX_WORD = 1 << 20, 300_000, 64
+SLAB, MAX_WORDS, MAX_WORD = 1 << 20, 500_000, 64
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Marks at the end of a word. Words of Latin letters before them take a shorter way if these
+#: probes show that the tokenizer lower-cases, cuts marks off and then encodes bytes.
+MARKS = ".,;:!?"
+PROBES = ("ab", "Ab", "ABC.", "é", "Éa,", "ß", "über?!", "ñandú...", "ÿ", "µª", "they;", "I", "s", "t:")
+
+
+class Words(dict):
+    """Ids of words as little-endian 32-bit numbers, looked up after the first time."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.bytewise = tokenizer, _byte_letters()
+        self.simple = True
+        self.simple = all(self[w.encode()] == self._encoded(w) for w in PROBES)
+        self.clear()
+
+    def _encoded(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _spelt(self, letters: str) -> bytes:
+        """A word of lower-case letters goes to the tokenizer's model as it is."""
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.bytewise)
+        found = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(word) > MAX_WORD:
+            return self._encoded(word.decode("utf-8", "replace"))
+        if len(self) > MAX_WORDS:  # memory is bounded whatever the vocabulary
+            self.clear()
+        text = word.decode("utf-8", "replace")
+        letters = text.rstrip(MARKS)
+        if not (self.simple and letters.isalpha() and (letters.isascii() or max(letters) < "\u0100")):
+            ids = self._encoded(text)
+        elif letters == text:
+            small = letters.lower()
+            ids = self._spelt(small) if small == letters else self[small.encode()]
+        else:
+            ids = self[letters.encode()] + self[text[len(letters) :].encode()]
+        self[word] = ids
+        return ids
+
+
+def _byte_letters() -> dict[int, int]:
+    """Letters that byte-level vocabularies write bytes as: printable ones stay, others follow
+    from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
 
 
 class TokenIds:
-    """Ids of texts as little-endian 32-bit numbers; tokens never span ASCII white space, so
-    words are looked up, and the tokenizer sees those that are new."""
+    """Ids of texts. Tokens never span ASCII white space, so words are looked up."""
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_str(tokenizer_json), {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self.words = Words(Tokenizer.from_str(tokenizer_json))
+        if self.words._encoded("a b") != self.words._encoded("a") + self.words._encoded("b"):
+            raise ValueError("the tokenizer's tokens depend on white space")
 
     def of(self, raw: bytes) -> Iterator[bytes]:
         """The ids of a text, slab by slab."""
@@ -61,15 +109,8 @@ class TokenIds:
         while start < len(raw):
             cut = SPACE.search(raw, start + SLAB)
             stop = cut.start() if cut else len(raw)
-            words = raw[start:stop].split()
+            yield b"".join(map(self.words.__getitem__, raw[start:stop].split()))
             start = stop
-            if len(self.words) > MAX_WORDS:  # memory is bounded whatever the vocabulary
-                self.words = {}
-            new = [w for w in dict.fromkeys(words) if w not in self.words]
-            once = dict(zip(new, self._ids(new)))
-            self.words.update((w, ids) for w, ids in once.items() if len(w) <= MAX_WORD)
-            known, get = self.words, once.get
-            yield b"".join([known.get(w) or get(w, b"") for w in words])
 
 
 def pieces(

@@ -77,3 +77,12 @@ def test_ties_repeated_rows_and_no_rows(spark):
     assert sum(r.copies for r in got) in (12, 13)  # of 8 * 1.5
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mixture(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_dotted_and_clashing_columns_stay(spark):
+    rows = [(k, "s", "one two", k, "t") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, `a.b` int, Copy string")
+    mixed = mixing.mixture(docs)
+    assert mixed.columns == [*docs.columns, "copy_"]
+    got = mixed.collect()
+    assert {tuple(r)[:5] for r in got} <= set(rows) and sum(r["copy_"] == 1 for r in got) >= 1

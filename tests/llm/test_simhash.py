@@ -116,3 +116,12 @@ def test_components_of_chains_stars_and_noise(spark):
     assert {r.node: r.component for r in got} == {n: 0 for n in [*range(41), *range(100, 130)]}
     assert len(got) == 71
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_dotted_and_clashing_columns_stay(spark):
+    rows = [(1, "a b c d", "x", 1), (2, "a b c d", "y", 2), (None, "a b c d", None, 3), (3, None, "z", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, gone int")
+    left = simhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0

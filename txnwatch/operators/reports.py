@@ -137,5 +137,7 @@ def recent_recommendations(generated: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def recent_ideas(generated: DataFrame, n: int = 20) -> DataFrame:
-    return top(generated, n, F.desc("generated_at"), F.col("source_table"))
+def recent_ideas(generated: DataFrame, n: int = 5) -> DataFrame:
+    """Newest ``n`` ideas; those of one time in the order of their tables and texts."""
+    order = [F.desc("generated_at"), F.col("source_table"), F.col("new_feature_ideas")]
+    return top(generated, n, *order)

@@ -447,9 +447,10 @@ WHERE amount > 9000 AND amount < 10000 ORDER BY transaction_id LIMIT 5""",
     WHEN (id, 'Retail') IN (SELECT (account_id, account_type) FROM nodes) THEN 'Retail'
     ELSE 'Merchant/P2P' END AS "group" FROM firsts""",
         "subgraph_links": found
-        + "SELECT source, target, CAST(amount AS DOUBLE) AS amount, 'GBP' AS currency, pattern"
+        + "SELECT source, target, CAST(amount AS DOUBLE) AS amount, 'GBP' AS currency, pattern,"
+        + r" '$' || regexp_replace(format('{:,.2f}', amount::DOUBLE), '\.?0+$', '') AS label"
         + " FROM links WHERE amount > 0 UNION ALL"
-        + " SELECT source, target, CAST(amount AS DOUBLE), 'USD', pattern FROM links"
+        + " SELECT source, target, CAST(amount AS DOUBLE), 'USD', pattern, 'OWNS' FROM links"
         + " WHERE amount = 0",
         "anomaly_summaries": found
         + "SELECT anomaly_type, "
@@ -537,7 +538,8 @@ JOIN e3 ON src3 = dst2 AND dst3 = src1 AND at3 > at2 AND at3 <= at2 + INTERVAL 6
             for t in (W.IDEAS_STREAMING, W.IDEAS_BATCH)
         ) + ")"
     )
-    sql["feature_ideation"] = sql["recent_ideas"] = ideas
+    sql["feature_ideation"] = ideas
+    sql["recent_ideas"] = ideas + " ORDER BY source_table, new_feature_ideas LIMIT 5"
     sql["graph_inference"] = (
         f"SELECT {_sql(W.GRAPH_PROMPT.split()[0])} AS heading, summary FROM ({sql['graph_verdict']})"
     )

@@ -464,7 +464,7 @@ def subgraph_nodes(spark, sf_dir):
 
 @query("subgraph_links")
 def subgraph_links(spark, sf_dir):
-    return subgraph.subgraph_links(findings(spark, sf_dir)).drop("label")
+    return subgraph.subgraph_links(findings(spark, sf_dir))
 
 
 @query("anomaly_summaries")
@@ -582,7 +582,7 @@ def feature_ideation(spark, sf_dir):
 @query("recent_ideas")
 def recent_ideas(spark, sf_dir):
     made = feature_ideas(spark, sf_dir).withColumn("generated_at", F.lit(AS_OF))
-    return reports.recent_ideas(made, 20).drop("generated_at")
+    return reports.recent_ideas(made).drop("generated_at")
 
 
 def make_graph_stub() -> text.Model:

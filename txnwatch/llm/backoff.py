@@ -6,13 +6,13 @@ of the history without its first word; a word alone count(word) / words. Counts
 document out, so a text is not judged by itself and backing off takes place. A word seen nowhere
 else scores as if seen once in one word more than the rest of the corpus has.
 
-The join of n-grams and counts is by hash, in blocks of columns rather than rows of single
-n-grams, which would be a hundred bytes a word. A chunk of documents (a few MB of text) gives
-each hash bucket the different n-grams it has there, with counts. A bucket sums the counts of an
-n-gram over all chunks (its part of the count table) and answers each chunk with the totals. Back
-at its chunk, a document's n-grams look their totals up and log scores are summed per document.
-Chunks and buckets are bounded; the number of buckets follows spark.sql.shuffle.partitions. A very
-common n-gram is one entry per chunk. N-grams are 64-bit hashes of their words.
+Texts are read once, into chunks of a few MB that are written with their words as numbers. Each
+chunk is exploded to its different n-grams with their counts, one row each, so a very common
+n-gram is one row per chunk. The rows are partitioned by n-gram once; summed there they are the
+count table, and joined to it they tell each chunk the n-grams that other chunks have too, with
+their totals (of the others the chunk's own count is the total). Log scores are then summed per
+document. Chunks are bounded, whatever a source or a document's copies hold of the rows; a single
+text longer than a chunk is a chunk of its own. N-grams are 64-bit hashes of their words.
 
 Scores are summed as whole millionths, so the result doesn't depend on the order of anything.
 """
@@ -28,10 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.llm.tables import buckets
+from txnwatch.llm.tables import buckets, kept
 
-CHUNK, ALPHA, UNIT = 4 << 20, 0.4, 1_000_000
-ROW = "chunk long, bucket int, grams binary, counts binary, state binary"
+CHUNK, ALPHA, UNIT = 8 << 20, 0.4, 1_000_000
+STATE = "chunk long, words long, state binary"
+GRAM = "chunk long, gram long, n long"
+#: Rows of an Arrow batch of n-grams.
+BATCH = 1 << 16
 
 
 def _pack(array: np.ndarray) -> bytes:
@@ -85,98 +88,82 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield part, ids, texts
 
 
-def _state(ids, texts, words: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    split = [t.split() for t in texts]
-    sizes = np.array([len(s) for s in split], np.int64)
-    hashed = np.fromiter((words[w] for s in split for w in s), np.uint64, int(sizes.sum()))
-    return hashed, sizes
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, partition) to a row per chunk: its documents' ids, sizes and word hashes."""
+    words = WordHash()
+    for number, (part, ids, texts) in enumerate(_chunks(batches)):
+        split = [t.split() for t in texts]
+        sizes = np.array([len(s) for s in split], np.int64)
+        hashed = np.fromiter((words[w] for s in split for w in s), np.uint64, int(sizes.sum()))
+        vocabulary, places = np.unique(hashed, return_inverse=True)
+        known = np.array([x is not None for x in ids])
+        numbers = np.array([0 if x is None else x for x in ids], np.int64)
+        packed = [_pack(b) for b in (numbers, known, sizes, vocabulary, places.astype(np.uint32))]
+        head = np.array([len(p) for p in packed], np.int64).tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([part << 32 | number], pa.int64()),
+                pa.array([len(hashed)], pa.int64()),
+                pa.array([b"".join([head, *packed])], pa.binary()),
+            ],
+            ["chunk", "words", "state"],
+        )
+
+
+def _open(state: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's document ids, which of them are known, sizes in words, and word hashes."""
+    cut = np.concatenate([[40], 40 + np.cumsum(np.frombuffer(state[:40], np.int64))])
+    parts = [state[cut[i] : cut[i + 1]] for i in range(5)]
+    hashed = _unpack(parts[3], np.uint64)[_unpack(parts[4], np.uint32)]
+    known = _unpack(parts[1], np.uint8).astype(bool)
+    return _unpack(parts[0], np.int64), known, _unpack(parts[2], np.int64), hashed
 
 
-def _emit(order: int, n_buckets: int, state: bool):
-    """Arrow function over (doc_id, text): grams of each chunk by bucket, or the chunks' states."""
+def _counted(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a chunk, sorted, with their counts."""
+    return np.unique(np.concatenate([g[inside] for g, inside in grams]), return_counts=True)
+
+
+def _explode(order: int):
+    """Arrow function over chunks: a row for each of its different n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
-        for number, (part, ids, texts) in enumerate(_chunks(batches)):
-            chunk = part << 32 | number
-            hashed, sizes = _state(ids, texts, words)
-            rows = []
-            if state:
-                vocabulary, places = np.unique(hashed, return_inverse=True)
-                known = np.array([x is not None for x in ids])
-                numbers = np.array([0 if x is None else x for x in ids], np.int64)
-                blobs = [numbers, known, sizes, vocabulary, places.astype(np.uint32)]
-                packed = [_pack(b) for b in blobs]
-                head = np.array([len(p) for p in packed], np.int64).tobytes()
-                rows.append((chunk, -1, None, None, b"".join([head, *packed])))
-            else:
+        for batch in batches:
+            for chunk, state in zip(batch["chunk"].to_pylist(), batch["state"]):
+                _, _, sizes, hashed = _open(state.as_py())
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                grams = [g[inside] for g, inside in _grams(hashed, owner, order)]
-                grams, counts = np.unique(np.concatenate(grams), return_counts=True)
-                # sorted by hash, so buckets by hash range are runs
-                bucket = ((grams >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-                at = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
-                for b in range(n_buckets):
-                    if at[b] < at[b + 1]:
-                        run_ = slice(at[b], at[b + 1])
-                        packed = _pack(np.diff(grams[run_], prepend=np.uint64(0)))
-                        rows.append((chunk, b, packed, _pack(counts[run_].astype(np.uint32)), None))
-            yield _batch(rows)
+                grams, counts = _counted(_grams(hashed, owner, order))
+                for at in range(0, len(grams), BATCH):
+                    part = grams[at : at + BATCH].view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(part), chunk, np.int64)),
+                            pa.array(part),
+                            pa.array(counts[at : at + BATCH]),
+                        ],
+                        ["chunk", "gram", "n"],
+                    )
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    columns = zip(*rows) if rows else [[] for _ in kinds]
-    names = [c.split()[0] for c in ROW.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """Of a bucket's rows: for each chunk, the totals over all chunks of the n-grams it has."""
-    grams = [np.cumsum(_unpack(g.as_py(), np.uint64), dtype=np.uint64) for g in table["grams"]]
-    counts = [_unpack(c.as_py(), np.uint32) for c in table["counts"]]
-    keys, places = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(places, np.concatenate(counts), len(keys)).astype(np.int64)
-    ends = np.cumsum([len(g) for g in grams])
-    rows = [
-        (chunk, bucket, None, _pack(totals[places[end - len(g) : end]]), None)
-        for chunk, bucket, g, end in zip(
-            table["chunk"].to_pylist(), table["bucket"].to_pylist(), grams, ends
-        )
-    ]
-    return pa.Table.from_batches([_batch(rows)])
-
-
 def _score(order: int, alpha: float, total: int):
-    """Arrow function over one chunk: its state and its answers in the order of buckets."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("bucket")
-        state = next((s for s in rows["state"].to_pylist() if s is not None), None)
-        if state is None:
-            raise ValueError("docs gave other rows when read again")
-        heads = np.frombuffer(state[:40], np.int64)
-        cut = np.concatenate([[40], 40 + np.cumsum(heads)])
-        parts = [state[cut[i] : cut[i + 1]] for i in range(5)]
-        numbers, sizes = _unpack(parts[0], np.int64), _unpack(parts[2], np.int64)
-        known = _unpack(parts[1], np.uint8).astype(bool)
-        hashed = _unpack(parts[3], np.uint64)[_unpack(parts[4], np.uint32)]
-        answers = [_unpack(c, np.int64) for c in rows["counts"].to_pylist() if c is not None]
-        answers = np.concatenate(answers) if answers else np.zeros(0, np.int64)
+    """Arrow function over a chunk and the totals of the n-grams that other chunks have too."""
+
+    def run(chunks: pa.Table, shared: pa.Table) -> pa.Table:
+        numbers, known, sizes, hashed = _open(chunks["state"][0].as_py())
         owner = np.repeat(np.arange(len(sizes)), sizes)
         millionths = np.zeros(len(hashed), np.int64)
         backed = np.zeros(len(hashed), np.int64)
         if len(hashed):
             every = _grams(hashed, owner, order)
-            keys = np.unique(np.concatenate([g[inside] for g, inside in every]))
-            if len(keys) != len(answers):
-                raise ValueError("docs gave other rows when read again")
+            keys, totals = _counted(every)
+            found = shared["gram"].to_numpy().view(np.uint64)
+            totals[np.searchsorted(keys, found)] = shared["total"].to_numpy()
             others = []  # of the n-gram that ends at each place: count in other documents
             for gram, inside in every:
                 count = np.zeros(len(hashed))
-                count[inside] = answers[np.searchsorted(keys, gram[inside])] - _own(gram, owner, inside)
+                count[inside] = totals[np.searchsorted(keys, gram[inside])] - _own(gram, owner, inside)
                 others.append(count)
             rest = total - sizes[owner]
             score = np.where(others[0] > 0, others[0] / np.maximum(rest, 1), 1 / (rest + 1.0))
@@ -217,6 +204,11 @@ def _own(gram: np.ndarray, owner: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return out
 
 
+def count_table(grams: DataFrame) -> DataFrame:
+    """(gram, total) over all chunks, of rows (chunk, gram, n)."""
+    return grams.groupBy("gram").agg(F.sum("n").alias("total"))
+
+
 def scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_backed_off (words whose
     longest n-gram is in no other document), log_score (natural log, summed) and per_word.
@@ -226,20 +218,30 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFrame:
     with a null or repeated doc_id, are documents of their own. Other columns are not read. An
     empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    n = buckets(spark, 2)
     light = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("binary").alias("text"),
         F.spark_partition_id().alias("part"),
     )
-    grams = light.mapInArrow(_emit(order, n, state=False), ROW)
-    total = _words(light)
-    answers = grams.groupBy("bucket").applyInArrow(_answer, ROW)
-    states = light.mapInArrow(_emit(order, n, state=True), ROW)
-    scored = answers.union(states).groupBy("chunk").applyInArrow(
-        _score(order, alpha, total),
-        "doc_id long, n_words long, n_backed_off long, millionths long",
+    chunks = kept(light.mapInArrow(_states, STATE), "backoff-chunks")
+    total = chunks.agg(F.sum("words")).first()[0] or 0
+    # partitioned once: the sum and the join below both find their rows in place
+    grams = (
+        chunks.select("chunk", "state")
+        .mapInArrow(_explode(order), GRAM)
+        .repartition(buckets(docs.sparkSession, 2), "gram")
+    )
+    shared = (
+        grams.join(count_table(grams), "gram").where("total > n").select("chunk", "gram", "total")
+    )
+    scored = (
+        chunks.select("chunk", "state")
+        .groupBy("chunk")
+        .cogroup(shared.groupBy("chunk"))
+        .applyInArrow(
+            _score(order, alpha, total),
+            "doc_id long, n_words long, n_backed_off long, millionths long",
+        )
     )
     log_score = F.col("millionths") / F.lit(float(UNIT))
     return scored.select(
@@ -249,15 +251,3 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFrame:
         log_score.alias("log_score"),
         F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("per_word"),
     )
-
-
-def _words(light: DataFrame) -> int:
-    """Words of the corpus."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1)
-            n = sum(len((texts[i].as_py() or b"").split()) for i in range(len(texts)))
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    return light.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

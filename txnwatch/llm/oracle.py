@@ -14,25 +14,28 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 BACKOFF = f"""
 WITH docs AS (SELECT doc_id, {WORDS} AS words FROM documents),
 places AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, words FROM docs),
-spots AS (SELECT doc_id, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v FROM places),
-one AS (SELECT w, count(*) AS n FROM spots GROUP BY w),
-own1 AS (SELECT doc_id, w, count(*) AS n FROM spots GROUP BY doc_id, w),
-two AS (SELECT v, w, count(*) AS n FROM spots WHERE v IS NOT NULL GROUP BY v, w),
-own2 AS (SELECT doc_id, v, w, count(*) AS n FROM spots WHERE v IS NOT NULL GROUP BY doc_id, v, w),
+spots AS (SELECT doc_id, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v,
+    CASE WHEN i > 2 THEN words[i - 2] END AS u FROM places),
 others AS (
-  SELECT s.doc_id, s.v, one.n - own1.n AS c_w, h.n - oh.n AS c_v, two.n - own2.n AS c_vw
-  FROM spots s JOIN one ON one.w = s.w JOIN own1 ON own1.doc_id = s.doc_id AND own1.w = s.w
-  LEFT JOIN one h ON h.w = s.v LEFT JOIN own1 oh ON oh.doc_id = s.doc_id AND oh.w = s.v
-  LEFT JOIN two ON two.v = s.v AND two.w = s.w
-  LEFT JOIN own2 ON own2.doc_id = s.doc_id AND own2.v = s.v AND own2.w = s.w),
+  SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c_w,
+    count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c_vw,
+    count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY doc_id, u, v, w) AS c_uvw
+  FROM spots),
+histories AS (
+  SELECT *, lag(c_w) OVER place AS c_v, lag(c_vw) OVER place AS c_uv FROM others
+  WINDOW place AS (PARTITION BY doc_id ORDER BY i)),
 sizes AS (SELECT doc_id, len(words) AS n_words, (SELECT count(*) FROM spots) - len(words) AS rest FROM docs),
+alone AS (SELECT h.*, n_words,
+    CASE WHEN c_w > 0 THEN c_w / rest::DOUBLE ELSE 1 / (rest + 1.0::DOUBLE) END AS one
+  FROM histories h JOIN sizes USING (doc_id)),
+pairs AS (SELECT *, CASE WHEN v IS NULL THEN one WHEN c_vw > 0 THEN c_vw / greatest(c_v, 1)::DOUBLE
+    ELSE 0.4::DOUBLE * one END AS two FROM alone),
 scored AS (
-  SELECT doc_id, CAST(round(ln(CASE WHEN c_vw > 0 THEN c_vw / greatest(c_v, 1)::DOUBLE
-      ELSE (CASE WHEN v IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END)
-           * (CASE WHEN c_w > 0 THEN c_w / rest::DOUBLE ELSE 1 / (rest + 1.0::DOUBLE) END) END)
+  SELECT doc_id, CAST(round(ln(CASE WHEN u IS NULL THEN two
+      WHEN c_uvw > 0 THEN c_uvw / greatest(c_uv, 1)::DOUBLE ELSE 0.4::DOUBLE * two END)
       * 1000000) AS BIGINT) AS millionths,
-    coalesce(c_vw, 0) = 0 AND (v IS NOT NULL OR c_w = 0) AS backed
-  FROM others JOIN sizes USING (doc_id)),
+    0 = CASE WHEN u IS NOT NULL THEN c_uvw WHEN v IS NOT NULL THEN c_vw ELSE c_w END AS backed
+  FROM pairs),
 sums AS (SELECT doc_id, sum(millionths)::DOUBLE / 1000000 AS log_score,
   count(*) FILTER (backed) AS n_backed_off FROM scored GROUP BY doc_id)
 SELECT doc_id, n_words, coalesce(n_backed_off, 0) AS n_backed_off,

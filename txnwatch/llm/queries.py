@@ -33,8 +33,8 @@ VOCABULARY, VERSION = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", "byte_bpe_m
 
 
 def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram stupid-backoff score of every document against the counts of all others."""
-    return backoff.scores(table(spark, sf_dir, "documents"), order=2)
+    """Trigram stupid-backoff score of every document against the counts of all others."""
+    return backoff.scores(table(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -205,8 +205,8 @@ def _own(gram: np.ndarray, owner: np.ndarray, inside: np.ndarray) -> np.ndarray:
 
 
 def count_table(grams: DataFrame) -> DataFrame:
-    """(gram, total) over all chunks, of rows (chunk, gram, n)."""
-    return grams.groupBy("gram").agg(F.sum("n").alias("total"))
+    """(gram, total, chunks) over all chunks, of rows (chunk, gram, n)."""
+    return grams.groupBy("gram").agg(F.sum("n").alias("total"), F.count("chunk").alias("chunks"))
 
 
 def scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFrame:
@@ -229,10 +229,14 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFrame:
     grams = (
         chunks.select("chunk", "state")
         .mapInArrow(_explode(order), GRAM)
+        .where("gram IS NOT NULL AND n IS NOT NULL")
         .repartition(buckets(docs.sparkSession, 2), "gram")
     )
+    # both sides need the same columns and filters of the rows, so that one exchange serves both
     shared = (
-        grams.join(count_table(grams), "gram").where("total > n").select("chunk", "gram", "total")
+        grams.join(count_table(grams).hint("merge"), "gram")
+        .where("chunks > 1 AND total > n")
+        .select("chunk", "gram", "total")
     )
     scored = (
         chunks.select("chunk", "state")

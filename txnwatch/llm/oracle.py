@@ -160,8 +160,6 @@ def _found(kind: int, pattern: str, values: str = "m") -> str:
 
 
 def _secrets() -> str:
-    allowed = " AND ".join(f"NOT regexp_matches(value, {_sql(p)})" for p in secrets.ALLOW)
-    (_, hexed, _, bits_hex), (_, based, _, bits_base) = secrets.CLASSES
     names = "[" + ", ".join(map(_sql, secrets.KINDS)) + "]"
     spans = f"{names}[kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT)"
     window = secrets.WINDOW
@@ -170,12 +168,19 @@ WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({_found(0, secrets.ASSIGN, "g")} WHERE length(g[i]) >= {secrets.MIN_VALUE}
   UNION ALL {_found(1, secrets.ACCESS)} UNION ALL {_found(2, secrets.HEX)}),
 candidates AS ({_found(0, secrets.CANDIDATE)}),
-mixed AS (SELECT *, list_max(list_transform(range(1, length(value) - {window - 2}),
-    lambda k: list_aggregate(string_split(value[k:k + {window - 1}], ''), 'entropy'))) AS bits,
-    CASE WHEN regexp_matches(value, {_sql(hexed)}) THEN 3 ELSE 4 END AS class
-  FROM candidates WHERE {allowed}),
+judged AS (SELECT *, array_to_string(list_filter(string_split_regex(value, '[-_/=+]'), lambda p:
+    NOT (regexp_matches(p, '^[A-Z]?[a-z]{{2,}}$') OR regexp_matches(p, '^[A-Z]{{3,}}$')
+      OR regexp_matches(p, '^[A-Za-z]?[0-9]{{2,4}}$')
+      OR regexp_matches(p, '(?i)example|sample|dummy|placeholder|changeme|xxxxxx')
+      OR regexp_matches(p, '(?i)abcdefgh|0123456789|1234567890'))), '/') AS rest FROM candidates),
+mixed AS (SELECT *, list_max(list_transform(range(1, length(rest) - {window - 2}),
+    lambda k: list_aggregate(string_split(rest[k:k + {window - 1}], ''), 'entropy'))) AS bits,
+    CASE WHEN regexp_matches(rest, '^[0-9A-Fa-f]+$') THEN 3 WHEN regexp_matches(rest, '^[a-z0-9]+$') THEN 4
+      WHEN regexp_matches(rest, '^[A-Z0-9]+$') THEN 5 WHEN regexp_matches(rest, '^[A-Za-z0-9]+$') THEN 6
+      ELSE 7 END AS class
+  FROM judged WHERE length(rest) >= {window} AND regexp_matches(rest, '[0-9]')),
 more AS (SELECT doc_id, class AS kind, start, stop, value FROM mixed
-  WHERE bits >= CASE WHEN class = 3 THEN {bits_hex} ELSE {bits_base} END),
+  WHERE bits >= [2.94::DOUBLE, 3.38::DOUBLE, 3.38::DOUBLE, 3.66::DOUBLE, 3.66::DOUBLE][class - 2]),
 listed AS (SELECT doc_id, string_agg({spans}, ',' ORDER BY start, kind) AS spans
   FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY doc_id),
 counted AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,

@@ -7,7 +7,8 @@ pieces and matches before it. For each candidate (a run of letters, digits and t
 base64) the Shannon entropy of every window of ``WINDOW`` characters is kept by incremental
 counts: a step adds the entering and removes the leaving character in a count per character of
 the class, and the sum of n * log2(n) changes by the two counts alone. The largest entropy of a
-window is held against the threshold of the candidate's character class.
+window is held against the threshold of the candidate's character class. Words, samples and the
+like between signs are taken out of a candidate before, so they neither hide nor make a secret.
 """
 
 from __future__ import annotations
@@ -27,27 +28,31 @@ HEX = r"[0-9a-f]{24,}"
 MIN_VALUE = 6
 BASE = ("assign", "access", "hex")
 
-#: Candidates of the entropy scan, their character classes, alphabets and thresholds in bits.
+#: Candidates of the entropy scan, and the signs that cut them into pieces.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+SIGNS = r"[-_/=+]"
 WINDOW = 20
+#: Character classes, the narrowest first, with pattern, alphabet and threshold in bits: about the
+#: second percentile of a window of random characters (of base32 for the two with one case, as
+#: 32 of their 36 characters are common alphabets too), so some 98 % of random windows pass.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 CLASSES = (
-    ("entropy_hex", r"^[0-9A-Fa-f]+$", "0123456789abcdefABCDEF", 3.0),
-    (
-        "entropy_base64",
-        r"^[A-Za-z0-9+/_=-]+$",
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-",
-        4.0,
-    ),
+    ("entropy_hex", r"^[0-9A-Fa-f]+$", DIGITS + "abcdefABCDEF", 2.94),
+    ("entropy_lower", r"^[a-z0-9]+$", LOWER + DIGITS, 3.38),
+    ("entropy_upper", r"^[A-Z0-9]+$", UPPER + DIGITS, 3.38),
+    ("entropy_alnum", r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS, 3.66),
+    ("entropy_base64", r"^[A-Za-z0-9+/_=-]+$", UPPER + LOWER + DIGITS + "+/_=-", 3.66),
 )
-#: Strings that are no secrets however mixed they look: samples, letters or signs in order,
-#: paths, words joined by signs, and strings without a digit.
+#: Pieces that are no part of a secret: words of three letters or more, numbers of two to four
+#: digits with at most one letter before them, samples, and letters or digits in order. A candidate
+#: is judged without them.
 ALLOW = (
+    r"^(?:[A-Z]?[a-z]{2,}|[A-Z]{3,}|[A-Za-z]?[0-9]{2,4})$",
     r"(?i)example|sample|dummy|placeholder|changeme|x{6}",
     r"(?i)abcdefgh|0123456789|1234567890",
-    r"^/|(?:/[A-Za-z_=-]*){4}",
-    r"^[A-Za-z]+(?:[-_/=+][A-Za-z]+)*$",
-    r"^[^0-9]*$",
 )
+#: What is left must hold a digit.
+NEEDED = r"[0-9]"
 KINDS = (*BASE, *(c[0] for c in CLASSES))
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -116,32 +121,54 @@ def window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column
     return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda a: a["best"])
 
 
-def _value(pattern: str, like: bool):
-    return lambda s: s["value"].rlike(pattern) == F.lit(like)
+def judged(value: Column) -> Column:
+    """``value`` without the pieces of the allow list, the rest joined by ``/``."""
+
+    def open_(piece: Column) -> Column:
+        allowed = piece.rlike(ALLOW[0])
+        for pattern in ALLOW[1:]:
+            allowed = allowed | piece.rlike(pattern)
+        return ~allowed
+
+    return F.array_join(F.filter(F.split(value, SIGNS, -1), open_), "/")
+
+
+def _of_class(k: int):
+    """Whether a judged candidate is of class ``k``, and of no narrower one."""
+
+    def run(s: Column) -> Column:
+        found = s["left"].rlike(CLASSES[k][1])
+        for _, narrower, _, _ in CLASSES[:k]:
+            found = found & ~s["left"].rlike(narrower)
+        return found
+
+    return run
 
 
 def _mixed(alphabet: str, bits: float):
-    return lambda s: window_entropy(s["value"], alphabet) >= F.lit(bits)
+    return lambda s: window_entropy(s["left"], alphabet) >= F.lit(bits)
 
 
 def _as_kind(kind: int):
     return lambda s: F.struct(
-        s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"),
-        s["value"].alias("value"),
+        s["span"]["start"].alias("start"), F.lit(kind).alias("kind"), s["span"]["end"].alias("end"),
+        s["span"]["value"].alias("value"),
     )
 
 
 def entropy_spans(text: Column) -> Column:
-    """Candidates whose class has a window above its threshold and no allow-list entry."""
+    """Candidates that have, without their allowed pieces, a digit and a window above the
+    threshold of their character class. The span is the whole candidate."""
     empty = F.array().cast(SPAN)
-    candidates = spans(text, CANDIDATE, 0)
+    candidates = F.transform(
+        spans(text, CANDIDATE, 0), lambda s: F.struct(s.alias("span"), judged(s["value"]).alias("left"))
+    )
+    candidates = F.filter(
+        candidates, lambda s: (F.length(s["left"]) >= WINDOW) & s["left"].rlike(NEEDED)
+    )
     found = []
-    for allowed in ALLOW:
-        candidates = F.filter(candidates, _value(allowed, False))
-    for k, (_, pattern, alphabet, bits) in enumerate(CLASSES):
-        of_class = F.filter(candidates, _value(pattern, True))
-        for _, narrower, _, _ in CLASSES[:k]:
-            of_class = F.filter(of_class, _value(narrower, False))
+    for k, (_, _, alphabet, bits) in enumerate(CLASSES):
+        of_class = F.filter(candidates, _of_class(k))
         found.append(F.transform(F.filter(of_class, _mixed(alphabet, bits)), _as_kind(len(BASE) + k)))
     return F.when(text.rlike(CANDIDATE), F.concat(*found)).otherwise(empty)
 

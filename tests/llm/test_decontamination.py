@@ -104,3 +104,99 @@ def test_dropping_keeps_the_rest_as_it_is(spark):
     assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if r.text != QUESTION)
     assert dc.drop_contaminated(docs, benchmark.limit(0)).count() == 5
     assert dc.contamination(docs.limit(0), benchmark).count() == 0
+
+
+FAR = (
+    "A baker sold exactly 5 loaves of brown bread before noon today and later she packed another 5 "
+    "loaves for her oldest neighbour down the road."
+)
+
+
+def test_slots_are_compared_across_windows(spark):
+    texts = [
+        FAR.replace("5", "9"),
+        FAR.replace("5", "9", 1).replace("5", "11"),
+        FAR,
+        f"{filler(1)}. {FAR.replace('5', '9')} {filler(2)}. {FAR.replace('5', '11')}",
+    ]
+    assert set(found(spark, texts, [FAR], min_share=1.0, min_run=100)) == {0, 2, 3}
+    # a verbatim window counts even if another one of its values was changed
+    part = found(spark, [FAR.replace("5", "9", 1), FAR.replace("5", "9")], [FAR], min_share=0.6, min_run=100)
+    assert set(part) == {0, 1}
+
+
+def test_different_values_must_not_become_one(spark):
+    item = FAR.replace("5", "7", 1)
+    texts = [item.replace("5", "7"), item.replace("7", "3"), item.replace("7", "3").replace("5", "3")]
+    assert set(found(spark, texts, [item], min_share=1.0, min_run=100)) == {1}
+
+
+def test_scattered_pieces_do_not_add_up(spark):
+    item = filler(11, 40)
+    words = item.split()
+    pieces = [" ".join(words[k : k + 10]) for k in (0, 10, 20, 30)]
+    apart = " ".join(f"{p} {filler(20 + k)}" for k, p in enumerate(pieces))
+    near = " ".join(f"{p} one more" for p in pieces)
+    assert set(found(spark, [apart, near], [item])) == {1}
+
+
+def plain_matches(text, item, min_share=dc.MIN_SHARE, min_run=dc.MIN_RUN):
+    """Templates of numbers only, one window at a time."""
+    words, asked = text.lower().split(), item.lower().split()
+
+    def windows(w):
+        for i in range(len(w) - 7):
+            kinds = tuple("#" if x.isdigit() else x for x in w[i : i + 8])
+            if sum(k != "#" for k in kinds) < dc.MIN_LITERAL:
+                kinds = ("as it stands", *w[i : i + 8])
+            yield i, kinds
+
+    all_, groups = list(windows(asked)), {}
+    for at, kinds in windows(words):
+        for place, other in all_:
+            if kinds == other:
+                pairs = {
+                    (a, b)
+                    for a, b in zip(asked[place : place + 8], words[at : at + 8])
+                    if a.isdigit() and kinds[0] != "as it stands"
+                }
+                groups.setdefault(at - place, []).append((place, pairs))
+    good = []
+    for shift, hits in groups.items():
+        pairs = set().union(*(p for _, p in hits))
+        bad = {p for p in pairs for q in pairs if p != q and (p[0] == q[0] or p[1] == q[1])}
+        places = {place for place, own in hits if not own & bad or all(a == b for a, b in own)}
+        if any(set(range(k, k + min_run)) <= places for k in places):
+            return True
+        good += [(shift, place) for place in places]
+    good.sort()
+    parts, last = [], None
+    for shift, place in good:
+        if last is None or shift - last > dc.GAP:
+            parts.append(set())
+        parts[-1].add(place)
+        last = shift
+    return any(len(p) >= -(-len(all_) * min_share // 1) for p in parts)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_numbers_runs_and_slots_equal_a_plain_search(spark, seed):
+    rng = random.Random(seed)
+    letters = [f"v{k}" for k in "abcdefgh"]
+
+    def make(n):
+        return [str(rng.randrange(2, 6)) if rng.random() < 0.25 else rng.choice(letters) for _ in range(n)]
+
+    items = [make(rng.randrange(12, 30)) for _ in range(6)]
+    texts = []
+    for _ in range(80):
+        words = rng.choice(items)
+        swap = {str(k): str(rng.randrange(2, 8)) for k in range(2, 6)}
+        cut = [swap.get(w, w) if rng.random() < 0.95 else str(rng.randrange(9)) for w in words]
+        k = rng.randrange(len(cut))
+        if rng.random() < 0.3:
+            cut = [*cut[:k], "extra", *cut[k:]]
+        texts.append(" ".join([*make(rng.randrange(20)), *cut[rng.randrange(6) :], *make(rng.randrange(20))]))
+    rows = [" ".join(i) for i in items]
+    want = {i for i, t in enumerate(texts) if any(plain_matches(t, item) for item in rows)}
+    assert set(found(spark, texts, rows)) == want and 0 < len(want) < 80

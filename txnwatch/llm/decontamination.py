@@ -5,8 +5,11 @@ words lose their case and outer punctuation. A name is a capitalised word, not a
 does not start a sentence, in a text that does not capitalise most of its words. Windows of ``window`` template words are hashed and
 hash-joined between documents and benchmark items, so a question whose numbers or names were
 changed still meets its original. Windows with few literal words, and whole texts of fewer than
-``SHORTEST`` words, are hashed as their words stand. A hit counts only if the slots are consistent: within a window,
-equal benchmark values stand for equal document values and different ones for different ones.
+``SHORTEST`` words, are hashed as their words stand. A hit counts only if its slots are consistent: within
+the window, and over all windows of the item that lie at the same distance from their place in the
+document, equal benchmark values stand for equal document values and different ones for different
+ones. A window whose words all stand as in the item always counts. Hits are counted per part of a
+document, so pieces scattered over a long text don't add up.
 
 Documents are read in Arrow batches and whole; a word is canonicalised once per task. Windows
 whose hash no benchmark item has are dropped where they are made, if the benchmark's windows are
@@ -23,12 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.llm.tables import checked, kept
 
 WINDOW, SHORTEST, MIN_LITERAL, MIN_SHARE = 8, 5, 4, 0.3
+#: Hits of an item belong to one part of a document while their distances from the item's places
+#: differ by at most this many words from one to the next.
+GAP = 8
 #: Consecutive windows that tell whatever the item's length: 13 copied words.
 MIN_RUN = 6
 #: Units of measure and money.
@@ -85,6 +91,12 @@ class Windows:
             self.bits = np.zeros(1 << 22, bool)
             self.bits[known >> np.uint64(42)] = True
 
+    def _is_known(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return self.known[at] == hashes
+
     def of(
         self, texts: list[bytes], names: bool = True
     ) -> Iterator[tuple[int, int, int, list[int]]]:
@@ -116,7 +128,7 @@ class Windows:
         for i in (i for i, size in enumerate(sizes) if 0 < size < SHORTEST):
             whole = value[starts[i] : starts[i] + sizes[i]].tobytes()
             key = xxhash.xxh64_intdigest(whole, seed=sizes[i])
-            if self.known is None or np.isin(np.uint64(key), self.known):
+            if self.known is None or self._is_known(np.array([key], np.uint64))[0]:
                 yield i, key, 0, [0] * sizes[i]
         for length in self.lengths:
             m = n - length + 1
@@ -138,7 +150,7 @@ class Windows:
                 at = np.arange(m)
             else:
                 at = np.flatnonzero(self.bits[sums >> np.uint64(42)])
-                at = at[np.isin(sums[at], self.known)]
+                at = at[self._is_known(sums[at])]
             at = at[owner[at] == owner[at + length - 1]]
             for i in at:
                 place = int(i - starts[owner[i]])
@@ -214,7 +226,7 @@ def matches(
     min_run: int = MIN_RUN,
 ) -> DataFrame:
     """(text_key, item_id, hits, windows) of texts holding at least ``min_share`` of the
-    windows of an item, or ``min_run`` consecutive ones, with consistent slots."""
+    windows of an item in one part, or ``min_run`` consecutive ones, with consistent slots."""
     asked = kept(benchmark_windows(benchmark), "benchmark-windows")
     distinct = asked.select("window_hash", F.size("slots").alias("length")).distinct()
     n = distinct.count()
@@ -230,16 +242,15 @@ def matches(
     pair = hits.withColumnRenamed("place", "at").join(
         asked.withColumnRenamed("slots", "asked"), "window_hash"
     )
-    kinds = [F.size(F.array_distinct(x)) for x in ("slots", "asked", F.arrays_zip("slots", "asked"))]
-    consistent = (F.size("slots") == F.size("asked")) & (kinds[0] == kinds[2]) & (kinds[1] == kinds[2])
-    found = kept(
-        pair.where(consistent)
-        .select("text_key", "item_id", "windows", "place", (F.col("at") - F.col("place")).alias("shift"))
-        .distinct(),
-        "benchmark-hits",
+    slots = F.array_distinct(F.filter(F.arrays_zip("asked", "slots"), lambda x: x["asked"] != 0))
+    aligned = pair.where(F.size("slots") == F.size("asked")).select(
+        *("text_key", "item_id", "windows", "place", (F.col("at") - F.col("place")).alias("shift")),
+        slots.alias("pairs"),
     )
+    found = kept(_in_parts(_consistent(aligned.distinct())), "benchmark-hits")
     keys = ["text_key", "item_id", "windows"]
-    hits = found.groupBy(*keys).agg(F.count_distinct("place").alias("hits"))
+    parts = found.groupBy(*keys, "part").agg(F.count_distinct("place").alias("hits"))
+    hits = parts.groupBy(*keys).agg(F.max("hits").alias("hits"))
     # a run of windows is whole if each of its windows is a hit at the same shift
     starts = F.explode(F.sequence(F.col("place") - F.lit(min_run - 1), F.col("place")))
     runs = (
@@ -258,6 +269,42 @@ def matches(
     return joined.where(enough | F.col("_key").isNotNull()).select(*keys[:2], "hits", "windows")
 
 
+def _consistent(aligned: DataFrame) -> DataFrame:
+    """Windows without slots that contradict others of the same text, item and shift, as
+    (text_key, item_id, windows, place, shift). Verbatim windows always stay."""
+    group = ["text_key", "item_id", "shift"]
+    pairs = aligned.repartition("text_key", "item_id").select(
+        *group, "windows", "place", "pairs", F.explode_outer("pairs").alias("pair")
+    )
+    pairs = pairs.select(
+        *group, "windows", "place", "pairs",
+        F.col("pair.asked").alias("asked"), F.col("pair.slots").alias("slot"),
+    )
+    of_asked, of_slot = Window.partitionBy(*group, "asked"), Window.partitionBy(*group, "slot")
+    clash = (F.min("slot").over(of_asked) != F.max("slot").over(of_asked)) | (
+        F.min("asked").over(of_slot) != F.max("asked").over(of_slot)
+    )
+    other = F.coalesce(F.col("asked") != F.col("slot"), F.lit(False))
+    return (
+        pairs.withColumn("clash", F.coalesce(clash, F.lit(False)))
+        .groupBy(*group, "windows", "place", "pairs")
+        .agg(F.max("clash").alias("clash"), F.max(other).alias("other"))
+        .where("NOT (clash AND other)")
+        .select("text_key", "item_id", "windows", "place", "shift")
+        .distinct()
+    )
+
+
+def _in_parts(found: DataFrame) -> DataFrame:
+    """``found`` with the part of the document, numbered per text and item along the shifts."""
+    along = Window.partitionBy("text_key", "item_id").orderBy("shift")
+    apart = F.col("shift") - F.lag("shift").over(along) > GAP
+    new = found.withColumn("_new", F.coalesce(apart.cast("int"), F.lit(0)))
+    running = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # rows of equal shifts have no gap between them, so their order doesn't matter
+    return new.withColumn("part", F.sum("_new").over(running)).drop("_new")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, contaminated, n_items (benchmark
     items found in it), item_id (that with most windows found, then the smallest), hits and

@@ -402,3 +402,49 @@ def test_three_sizes_from_one_table_of_panes(spark, make_tx, arriving, tmp_path)
         want = feat.sliding_features(make_tx(rows), size)
         plain = got.withColumns({c: got[c].cast("timestamp_ntz") for c in ("window_start", "window_end")})
         assert listed(plain.select(*want.columns)) == listed(want)  # those of the last hour too
+
+
+def test_runs_of_windows_over_several_batches_without_state(spark, make_tx, tmp_path):
+    """State, shuffles and files once grew with the window length."""
+    rows = [r for r in random_rows(42, 80, users=2, span=150) if r[2] is not None]
+    markers = [tuple(r) for r in live.end_markers(make_tx(rows)).collect()]
+    batches = [*in_batches(rows, 3), [message(r) for r in markers]]
+    panes, cp, stored = str(tmp_path / "panes"), str(tmp_path / "cp"), {}
+    for upto in (2, 3, 4):
+        folder = write_files(tmp_path / "in", batches[:upto])
+        tx = src.accepted(src.decode_messages(src.stream_message_files(spark, folder, 1)))
+        sinks.finish(sinks.start_panes(tx, panes, cp, trigger=sinks.WHAT_IS_THERE))
+        queries = sinks.start_windows(
+            spark, panes, str(tmp_path), cp, sinks.WHAT_IS_THERE, (15, 60), as_runs=True
+        )
+        sinks.finish(*queries.values())
+        for query in queries.values():
+            assert all(not p["stateOperators"] for p in query.recentProgress)
+    for size in (15, 60):
+        path = tmp_path / f"user_features_{size}m"
+        assert len(list(path.glob("batch_id=*"))) == 3
+        stored[size] = spark.read.parquet(str(path)).count()
+        got = sinks.read_windows(spark, str(tmp_path), size)
+        want = feat.sliding_features(make_tx(rows), size)
+        plain = got.withColumns({c: got[c].cast("timestamp_ntz") for c in ("window_start", "window_end")})
+        assert listed(plain.select(*want.columns)) == listed(want)
+    assert max(stored.values()) < 6 * len(rows)
+
+
+def test_windows_closed_by_the_watermark(spark, make_tx, arriving, tmp_path):
+    """Also those that end between the last whole pane and the watermark."""
+    rows = [tx_row(1, "u", 1.0, 0), tx_row(2, "u", 2.0, 30), tx_row(3, "v", 4.0, 95.5)]
+    source = sinks.start_panes(
+        src.accepted(arriving(in_batches(rows, 1))), str(tmp_path / "panes"), str(tmp_path / "cp"),
+        trigger=sinks.WHAT_IS_THERE,
+    )
+    sinks.finish(source)
+    until = sinks.closed_until(source)
+    assert until == at(35.5)
+    queries = sinks.start_windows(
+        spark, str(tmp_path / "panes"), str(tmp_path), str(tmp_path / "cp"), sinks.WHAT_IS_THERE,
+        (15,), until=until,
+    )
+    sinks.finish(*queries.values())
+    got = spark.read.parquet(str(tmp_path / "user_features_15m")).collect()
+    assert sorted(r["window_end"] for r in got) == [at(k) for k in (*range(1, 16), *range(31, 36))]

@@ -17,17 +17,33 @@ def transaction_parts() -> Column:
     Kind 0 carries count, amount and flags; kinds 1 and 2 only name the merchant and the
     country, so that grouping by (kind, value) leaves one row per distinct value.
     """
+    return _parts(transaction_measures())
+
+
+def transaction_measures() -> list[Column]:
+    """n, known, spend, near and peak of one transaction."""
     amount = F.col("amount")
-    zero, nothing = F.lit(0).cast("bigint"), F.lit(0).cast(EXACT)
     measures = {
         "n": F.lit(1).cast("bigint"),
         "known": amount.isNotNull().cast("bigint"),
-        "spend": F.coalesce(exact(amount), nothing),
-        "near": F.coalesce(rules.near_threshold(amount).cast("bigint"), zero),
+        "spend": F.coalesce(exact(amount), F.lit(0).cast(EXACT)),
+        "near": F.coalesce(rules.near_threshold(amount).cast("bigint"), F.lit(0).cast("bigint")),
+        "peak": amount,
     }
-    own = [c.alias(name) for name, c in measures.items()] + [amount.alias("peak")]
-    nothings = {name: nothing if name == "spend" else zero for name in measures}
-    bare = [c.alias(name) for name, c in nothings.items()] + [F.lit(None).cast("double").alias("peak")]
+    return [c.alias(name) for name, c in measures.items()]
+
+
+def pane_parts() -> Column:
+    """``transaction_parts`` of a row that holds the sums of several transactions with one
+    merchant and country."""
+    return _parts([F.col(c) for c in (*SUMS, "peak")])
+
+
+def _parts(own: list[Column]) -> Column:
+    types = {name: "bigint" for name in SUMS} | {"spend": EXACT, "peak": "double"}
+    # NULL, as sums pass over it: adding up wide zeros took most of the time
+    empty = {"spend": None, "peak": None}
+    bare = [F.lit(empty.get(name, 0)).cast(t).alias(name) for name, t in types.items()]
 
     def part(kind: int, value: Column, columns: list[Column]) -> Column:
         return F.struct(

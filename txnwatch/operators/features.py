@@ -65,7 +65,6 @@ def sliding_features(tx: DataFrame, size: int) -> DataFrame:
     once. Windows are written out after the last shuffle, so the shuffled data does not
     grow with ``size``.
     """
-    dtype = type_of(tx)
     minutes = (
         tx.select(
             "user_id", minute_of(F.col("timestamp")).alias("minute"), F.inline(transaction_parts())
@@ -74,6 +73,15 @@ def sliding_features(tx: DataFrame, size: int) -> DataFrame:
         .groupBy("user_id", "minute", "kind", "value")
         .agg(*part_sums())
     )
+    return expanded_runs(window_runs(minutes, size), size, type_of(tx))
+
+
+def window_runs(minutes: DataFrame, size: int) -> DataFrame:
+    """Runs of consecutive windows with equal statistics, one row each: ``first`` and ``last``
+    are the minutes in which their first and last window start.
+
+    ``minutes`` has one row per (user_id, minute, kind, value) with the columns of
+    ``part_sums``. There are at most two runs per row, whatever the ``size``."""
     minute = F.col("minute")
     same_value = Window.partitionBy("user_id", "kind", "value").orderBy("minute")
     additive = F.col("kind") == AMOUNTS
@@ -91,14 +99,16 @@ def sliding_features(tx: DataFrame, size: int) -> DataFrame:
     )
     sums = [*SUMS, "merchants", "countries"]
 
-    def mark(at, sign, peak):
+    def mark(at, signed, peak):
         return F.struct(
-            at.alias("at"), *[(F.lit(sign) * F.col(c)).alias(c) for c in sums], peak.alias("peak")
+            at.alias("at"), *[signed(F.col(c)).alias(c) for c in sums], peak.alias("peak")
         )
 
     none = F.lit(None).cast("double")
-    marks = [mark(F.col("first"), 1, none), mark(minute + 1, -1, none)]
-    highest = F.when(F.col("peak").isNotNull(), mark(minute, 0, F.col("peak")))
+    marks = [mark(F.col("first"), lambda c: c, none), mark(minute + 1, F.negative, none)]
+    highest = F.when(
+        F.col("peak").isNotNull(), mark(minute, lambda c: F.nullif(c, c), F.col("peak"))
+    )
     steps = (
         spans.select("user_id", F.inline(F.array_compact(F.array(*marks, highest))))
         .groupBy("user_id", "at")
@@ -114,14 +124,11 @@ def sliding_features(tx: DataFrame, size: int) -> DataFrame:
         *[F.sum(c).over(upto).alias(c) for c in sums],
         F.max("peak").over(ahead).alias("peak"),
     ).filter(F.col("n") > 0)
-    windows = states.withColumn("at", F.explode(F.sequence(F.col("at"), F.col("until") - 1)))
-    start = from_micros(F.col("at") * F.lit(MINUTE), dtype)
-    end = from_micros((F.col("at") + size) * F.lit(MINUTE), dtype)
     spend = F.when(F.col("known") > 0, money.dollars(F.col("spend")))
-    return windows.select(
+    return states.select(
         "user_id",
-        start.alias("window_start"),
-        end.alias("window_end"),
+        F.col("at").alias("first"),
+        (F.col("until") - 1).alias("last"),
         F.col("n").alias("tx_count"),
         spend.alias("total_spend"),
         F.when(F.col("known") > 0, spend / F.col("known")).alias("avg_amount"),
@@ -132,6 +139,19 @@ def sliding_features(tx: DataFrame, size: int) -> DataFrame:
     )
 
 
+def expanded_runs(runs: DataFrame, size: int, dtype: str) -> DataFrame:
+    """One row per window from ``window_runs``; what all windows of a run share was computed
+    once, so a window costs its two times only."""
+    rest = [c for c in runs.columns if c not in ("user_id", "first", "last")]
+    windows = runs.select("user_id", F.explode(F.sequence("first", "last")).alias("at"), *rest)
+    return windows.select(
+        "user_id",
+        from_micros(F.col("at") * F.lit(MINUTE), dtype).alias("window_start"),
+        from_micros((F.col("at") + size) * F.lit(MINUTE), dtype).alias("window_end"),
+        *rest,
+    )
+
+
 def latest_windows(features: DataFrame, as_of: AsOf) -> DataFrame:
     """Newest closed window per user from a table of sliding features.
 

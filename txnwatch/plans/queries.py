@@ -788,8 +788,22 @@ def stream_score(spark, sf_dir):
 
 @query("stream_sliding_15m")
 def stream_sliding_15m(spark, sf_dir):
-    windows = live.sliding_features_stream(src.accepted(arriving(spark, sf_dir)), 15)
-    closed = _run_append(spark, windows, "stream_sliding_15m")
+    """Windows closed by the watermark, an hour before the last row."""
+    folder = shared_folder(spark, "stream_sliding_15m")
+    return _windows(spark, src.accepted(arriving(spark, sf_dir)), folder, 15, bounded=False)
+
+
+def _windows(spark: SparkSession, tx: DataFrame, folder: str, size: int, bounded: bool) -> DataFrame:
+    """Windows of one size from a table of minute panes: all of a run that ends with markers
+    (``bounded``), or those closed by the watermark."""
+    source = sinks.start_panes(tx, f"{folder}/panes", f"{folder}/cp", trigger=sinks.WHAT_IS_THERE)
+    sinks.finish(source)
+    windows = sinks.start_windows(
+        spark, f"{folder}/panes", folder, f"{folder}/cp", sinks.WHAT_IS_THERE, (size,),
+        until=None if bounded else sinks.closed_until(source), as_runs=True,
+    )
+    sinks.finish(*windows.values())
+    closed = sinks.read_windows(spark, folder, size)
     return _plain_time(closed.drop("last_updated"), "window_start", "window_end")
 
 
@@ -803,15 +817,7 @@ def _windows_of_panes(size: int) -> Query:
         _land_messages(tx, f"{folder}/in", 8)
         _land_messages(live.end_markers(tx), f"{folder}/in", 1)
         messages = src.accepted(src.decode_messages(src.stream_message_files(spark, f"{folder}/in")))
-        sinks.finish(
-            sinks.start_panes(messages, f"{folder}/panes", f"{folder}/cp", trigger=sinks.WHAT_IS_THERE)
-        )
-        windows = sinks.start_windows(
-            spark, f"{folder}/panes", folder, f"{folder}/cp", sinks.WHAT_IS_THERE, (size,)
-        )
-        sinks.finish(*windows.values())
-        closed = spark.read.parquet(f"{folder}/user_features_{size}m")
-        return _plain_time(closed.drop("last_updated"), "window_start", "window_end")
+        return _windows(spark, messages, folder, size, bounded=True)
 
     return run
 

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from txnwatch.functions import money
 from txnwatch.functions.money import dollars
-from txnwatch.functions.parts import COUNTRY, MERCHANT, USED, part_sums, transaction_parts
+from txnwatch.functions.parts import (
+    COUNTRY,
+    MERCHANT,
+    USED,
+    pane_parts,
+    part_sums,
+    transaction_measures,
+)
+from txnwatch.functions.timing import minute_of
+from txnwatch.operators.features import window_runs
 from txnwatch.operators.reports import stateless_alerts
 from txnwatch.operators.scoring import score
 
@@ -26,7 +35,7 @@ def timed(tx: DataFrame, delay: str = DELAY) -> DataFrame:
 END_USER = "\x00end"
 #: Columns of ``minute_panes``.
 PANES = (
-    "minute TIMESTAMP, user_id STRING, kind INT, value STRING, n BIGINT, known BIGINT, "
+    "minute TIMESTAMP, user_id STRING, merchant STRING, country STRING, n BIGINT, known BIGINT, "
     "spend DECIMAL(38,6), near BIGINT, peak DOUBLE"
 )
 
@@ -51,25 +60,37 @@ def end_markers(tx: DataFrame, hours: int = 2) -> DataFrame:
 
 
 def minute_panes(tx: DataFrame, delay: str = DELAY) -> DataFrame:
-    """One-minute panes per (minute, user, kind, value), for append mode: a busy user shrinks
-    before windows.
+    """One-minute panes per (minute, user, merchant, country), for append mode: a busy user
+    shrinks before windows.
+
+    There are at most as many panes, and rows of state, as transactions; distinct counts are
+    exact and no state row holds a set. A pane is emitted once, when rows of its minute would
+    be too late, so panes come in the order of their minutes."""
+    rows = timed(tx, delay).select(
+        "timestamp", "user_id", "merchant", "country", *transaction_measures()
+    )
+    keys = [F.window("timestamp", "1 minute"), "user_id", "merchant", "country"]
+    panes = rows.groupBy(*keys).agg(*part_sums())
+    return panes.withColumn("window", F.window_time("window")).withColumnRenamed("window", "minute")
 
-    Kind 0 carries the amounts; kinds 1 and 2 carry one row per merchant and country, so
-    distinct counts are exact and no state row holds a set. A pane is emitted once, when
-    rows of its minute would be too late, so panes come in the order of their minutes."""
-    rows = (
-        timed(tx, delay)
-        .select("timestamp", "user_id", F.inline(transaction_parts()))
+
+def runs_of_panes(panes: DataFrame, size: int) -> DataFrame:
+    """``features.window_runs`` of a batch of ``minute_panes``. Markers have no windows."""
+    minutes = (
+        panes.filter(F.col("user_id") != END_USER)
+        .select("user_id", minute_of(F.col("minute")).alias("minute"), F.inline(pane_parts()))
         .filter(USED)
+        .groupBy("user_id", "minute", "kind", "value")
+        .agg(*part_sums())
     )
-    panes = rows.groupBy(F.window("timestamp", "1 minute"), "user_id", "kind", "value").agg(*part_sums())
-    return panes.withColumn("window", F.window_time("window")).withColumnRenamed("window", "minute")
+    return window_runs(minutes, size)
 
 
 def windows_of_panes(panes: DataFrame, size: int) -> DataFrame:
-    """Sliding-window statistics per user from ``minute_panes`` (or a table of them, with a
-    watermark on ``minute``), for append mode: windows of ``size`` minutes per (user, kind,
-    value), then windows per user. Markers have no windows."""
+    """Sliding-window statistics per user from ``minute_panes`` as a streaming aggregation, for
+    append mode: windows of ``size`` minutes per (user, kind, value), then windows per user. Its
+    state grows with ``size``; ``sinks.start_windows`` keeps none. Markers have no windows."""
+    panes = panes.select("minute", "user_id", F.inline(pane_parts())).filter(USED)
     spans = F.window("minute", f"{size} minutes", "1 minute")
     windows = panes.groupBy(spans, "user_id", "kind", "value").agg(*part_sums())
     total = F.when(F.col("known") > 0, dollars(F.col("spend")))
@@ -100,8 +121,9 @@ def windows_of_panes(panes: DataFrame, size: int) -> DataFrame:
 
 
 def sliding_features_stream(tx: DataFrame, size: int, delay: str = DELAY) -> DataFrame:
-    """Sliding-window statistics per user in one query, for append mode. Several sizes are
-    cheaper from one table of panes (``sinks.start_panes``, ``sinks.start_windows``)."""
+    """Sliding-window statistics per user in one query, for append mode. Its state grows with
+    ``size``: for long windows or many rows, go through a table of panes (``sinks.start_panes``,
+    ``sinks.start_windows``), which also serves several sizes."""
     return windows_of_panes(minute_panes(tx, delay), size)
 
 

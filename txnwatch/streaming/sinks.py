@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -9,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from txnwatch.functions.timing import minute_of
+from txnwatch.operators.features import expanded_runs
 from txnwatch.operators.keyed import latest_per_key
 from txnwatch.operators.scoring import FEATURES, score
 from txnwatch.schemas import WINDOW_MINUTES
@@ -18,11 +22,12 @@ from txnwatch.sources.transactions import stream_table
 from txnwatch.streaming.features import (
     DAY_DELAY,
     DELAY,
+    END_USER,
     PANES,
     intraday_totals_stream,
     minute_panes,
+    runs_of_panes,
     sliding_features_stream,
-    windows_of_panes,
 )
 
 EVERY_5_SECONDS = {"processingTime": "5 seconds"}
@@ -286,6 +291,55 @@ def start_panes(
     return append_stream(minute_panes(tx, delay), path, checkpoint, trigger)
 
 
+def _closing(
+    size: int, path: str, kept: str, until: dt.datetime | None, as_runs: bool
+) -> Callable[[DataFrame, int], None]:
+    """Writer of the windows that a batch of panes closes: those that end after the last pane
+    start (or ``until``) of earlier batches, and not after the one so far."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, minute = batch.sparkSession, minute_of(F.col("minute"))
+        earlier = [n for n in numbered_folders(spark, kept, "batch_id") if n < batch_id]
+        known, closed = batch, None
+        if earlier:
+            before = spark.read.schema(PANES).parquet(f"{kept}/batch_id={max(earlier)}")
+            closed = before.agg(F.max(minute)).first()[0]
+            known = batch.unionByName(before)
+        if until:
+            stamp = F.lit(until.replace(tzinfo=dt.timezone.utc))
+            last = {"minute": stamp, "user_id": F.lit(END_USER)}
+            fields = [
+                last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in batch.schema
+            ]
+            known = known.unionByName(spark.range(1).select(*fields))
+        horizon = known.agg(F.max(minute)).first()[0]
+        first, last = F.col("first"), F.lit(horizon).cast("bigint") - size
+        if closed is not None:
+            first = F.greatest(first, F.lit(closed - size + 1))
+        runs = runs_of_panes(known, size).withColumns(
+            {"first": first, "last": F.least("last", last)}
+        )
+        runs = runs.filter("first <= last").withColumn("last_updated", F.current_timestamp())
+        windows = runs if as_runs else expanded_runs(runs, size, "timestamp")
+        windows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        still = known.filter(minute > horizon - size) if horizon is not None else known
+        still.write.mode("overwrite").parquet(f"{kept}/batch_id={batch_id}")
+
+    return write
+
+
+def read_windows(spark: SparkSession, folder: str, size: int) -> DataFrame:
+    """The windows that ``start_windows`` wrote ``as_runs``."""
+    runs = spark.read.parquet(f"{folder}/user_features_{size}m").drop("batch_id")
+    return expanded_runs(runs, size, "timestamp")
+
+
+def closed_until(query: StreamingQuery) -> dt.datetime | None:
+    """The UTC time before which a finished query took no more rows: its last watermark."""
+    marks = [p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in p["eventTime"]]
+    return max((dt.datetime.fromisoformat(m.rstrip("Z")) for m in marks), default=None)
+
+
 def start_windows(
     spark: SparkSession,
     panes: str,
@@ -293,18 +347,26 @@ def start_windows(
     checkpoint: str,
     trigger: dict[str, Any] = EVERY_MINUTE,
     sizes: tuple[int, ...] = WINDOW_MINUTES,
+    until: dt.datetime | None = None,
+    as_runs: bool = False,
 ) -> dict[int, StreamingQuery]:
     """One query and output folder per window size, all from the folder of ``start_panes``.
 
-    Panes come in the order of their minutes, so windows close without further delay."""
-    table = stream_table(spark, panes, PANES).withWatermark("minute", "0 seconds")
+    Panes come in the order of their minutes, so a window closes when a pane comes that starts at
+    its end or later, or at the UTC time ``until`` before which no pane will come any more. A
+    batch computes the windows that it closes by running sums over its panes and those of the last
+    ``size`` minutes before, which are kept under ``checkpoint``: nothing grows with the window
+    length but the rows written. With ``as_runs`` consecutive windows with equal statistics are
+    written as one row, which ``read_windows`` expands. Rows go to
+    ``user_features_<size>m/batch_id=N``; a batch that is run again replaces its own folder."""
+    table = stream_table(spark, panes, PANES)
     return {
-        size: append_stream(
-            windows_of_panes(table, size),
-            f"{folder}/user_features_{size}m",
-            f"{checkpoint}/user_features_{size}m",
-            trigger,
+        size: table.writeStream.foreachBatch(
+            _closing(size, f"{folder}/user_features_{size}m", f"{checkpoint}/open_{size}m", until, as_runs)
         )
+        .option("checkpointLocation", f"{checkpoint}/user_features_{size}m")
+        .trigger(**trigger)
+        .start()
         for size in sizes
     }
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from txnwatch import schemas
 from txnwatch.operators import profile, reports, text
+from txnwatch.plans.queries import all_queries
 from txnwatch.session import local_rows
 from txnwatch.sources import catalog, planted, tables
 from txnwatch.sources import transactions as src
@@ -145,6 +146,14 @@ def test_recent_ideas(spark):
         spark, rows, "source_table STRING, new_feature_ideas STRING, generated_at TIMESTAMP_NTZ")
     assert [r["source_table"] for r in reports.recent_ideas(df, 5).collect()] == [
         "t7", "t6", "t5", "t4", "t3"]
+    assert [r["source_table"] for r in reports.recent_ideas(df, None).collect()] == [
+        f"t{i}" for i in range(7, -1, -1)]
+
+
+def test_recent_ideas_are_all_ideas(spark, small):
+    """Both wordings of all four tables, in order (a LIMIT 5 left three out)."""
+    got = [tuple(r) for r in all_queries()["recent_ideas"](spark, small).collect()]
+    assert len(got) == 8 and got == sorted(got)
 
 
 def test_feed_rollup_of_nothing(spark):

@@ -137,7 +137,8 @@ def recent_recommendations(generated: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def recent_ideas(generated: DataFrame, n: int = 5) -> DataFrame:
-    """Newest ``n`` ideas; those of one time in the order of their tables and texts."""
+def recent_ideas(generated: DataFrame, n: int | None = 5) -> DataFrame:
+    """Newest ``n`` ideas (``None``: all); those of one time in the order of their tables and
+    texts."""
     order = [F.desc("generated_at"), F.col("source_table"), F.col("new_feature_ideas")]
-    return top(generated, n, *order)
+    return generated.orderBy(*order) if n is None else top(generated, n, *order)

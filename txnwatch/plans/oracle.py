@@ -539,7 +539,7 @@ JOIN e3 ON src3 = dst2 AND dst3 = src1 AND at3 > at2 AND at3 <= at2 + INTERVAL 6
         ) + ")"
     )
     sql["feature_ideation"] = ideas
-    sql["recent_ideas"] = ideas + " ORDER BY source_table, new_feature_ideas LIMIT 5"
+    sql["recent_ideas"] = ideas + " ORDER BY source_table, new_feature_ideas"
     sql["graph_inference"] = (
         f"SELECT {_sql(W.GRAPH_PROMPT.split()[0])} AS heading, summary FROM ({sql['graph_verdict']})"
     )

@@ -582,7 +582,7 @@ def feature_ideation(spark, sf_dir):
 @query("recent_ideas")
 def recent_ideas(spark, sf_dir):
     made = feature_ideas(spark, sf_dir).withColumn("generated_at", F.lit(AS_OF))
-    return reports.recent_ideas(made).drop("generated_at")
+    return reports.recent_ideas(made, None).drop("generated_at")
 
 
 def make_graph_stub() -> text.Model:

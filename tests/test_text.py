@@ -161,3 +161,22 @@ def test_errors_are_not_kept(spark, tmp_path):
     once = {"answers": str(tmp_path / "answers"), "model_name": "m", "pause": 0.0, "batch_size": 1}
     assert rows(text.generate_text_once(df, fragile, **once)) == {0: (None, "no answer"), 1: ("GOOD", "")}
     assert rows(text.generate_text_once(df, echo, **once)) == {0: ("bad/None", ""), 1: ("GOOD", "")}
+
+
+def test_all_waves_are_one_job(spark, tmp_path):
+    """A job per wave read all prompts again for every wave."""
+    df = prompts(spark, [f"p{k}" for k in range(60)])
+    answers = str(tmp_path / "answers")
+    got = rows(text.generate_text_once(df, echo, answers, "m", wave=4))
+    assert got == {k: (f"p{k}/None", "") for k in range(60)}
+    folders = list((tmp_path / "answers").glob("wave=*"))
+    assert len(folders) == 1 and len(list(folders[0].glob("*.parquet"))) > 5
+
+
+def test_waves_of_a_limited_number_of_tasks(spark, tmp_path):
+    df = prompts(spark, [f"p{k}" for k in range(60)])
+    answers = str(tmp_path / "answers")
+    got = rows(text.generate_text_once(df, echo, answers, "m", wave=4, tasks=5))
+    assert got == {k: (f"p{k}/None", "") for k in range(60)}
+    folders = list((tmp_path / "answers").glob("wave=*"))
+    assert 1 < len(folders) <= 3 and all(len(list(f.glob("*.parquet"))) <= 5 for f in folders)

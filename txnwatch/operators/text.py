@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from txnwatch.functions import wording as W
 from txnwatch.functions.money import money_text
-from txnwatch.session import local_rows, written
+from txnwatch.session import local_rows, shared_folder, written
 
 
 def _count(column: str) -> Column:
@@ -161,8 +161,10 @@ def generate_text_once(
     """``generate_text`` with a table of answers in the folder ``answers``, keyed by model, prompt
     and options: prompts that it holds are not sent again, and equal prompts are sent once.
 
-    New prompts are sent in waves of about ``wave`` prompts, each stored when it is whole. A
-    run that fails, or is repeated, pays for the wave it was in only. Errors are not stored,
+    New prompts are dealt into waves of about ``wave`` prompts. A task sends one wave and stores
+    its answers when it is whole, so a run that fails, or is repeated, pays for the waves only
+    that were being sent. One job sends all waves, as many at a time as the cluster runs; with
+    ``tasks``, jobs of that many waves follow each other. Errors are not stored,
     so they are tried again by the next run and have no answer in this one. Options of
     ``generate_text`` itself (``batch_size``, ``tasks``, ``retries``, ``pause``) are no part of the key."""
     spark = rows.sparkSession
@@ -173,10 +175,19 @@ def generate_text_once(
     new = asked.groupBy("prompt_key").agg(F.min("prompt").alias("prompt"))
     new = written(new.join(_answered(spark, answers), "prompt_key", "left_anti"), "prompts")
     waves = -(-new.count() // wave)
-    for number in range(waves):
-        part = new.filter(F.pmod(F.xxhash64("prompt_key"), F.lit(waves)) == number)
-        made = generate_text(part, make_model, **own, **options).drop("prompt")
-        made.filter("status IS NULL OR NOT startswith(status, 'error')").write.parquet(
+    at_once = own.pop("tasks", None) or waves
+    jobs = -(-waves // at_once) if waves else 0
+    if jobs > 1:  # split once, so that a job reads its own prompts only
+        place = F.pmod(F.xxhash64("prompt_key"), F.lit(jobs)).alias("job")
+        path = shared_folder(spark, "prompts_by_job")
+        new.select("*", place).repartition("job").write.partitionBy("job").parquet(path)
+        new = spark.read.parquet(path)
+    for number in range(jobs):
+        part = new.filter(F.col("job") == number).drop("job") if jobs > 1 else new
+        made = generate_text(part, make_model, tasks=min(at_once, waves), **own, **options)
+        made = made.drop("prompt").filter("status IS NULL OR NOT startswith(status, 'error')")
+        # version 2: a task's file is in place once the task is done, whatever happens to the job
+        made.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(
             f"{answers.rstrip('/')}/wave={uuid.uuid4().hex}"
         )
     found = _answered(spark, answers)
@@ -188,11 +199,11 @@ def generate_text_once(
 
 
 def _answered(spark: SparkSession, answers: str) -> DataFrame:
-    """Stored answers of whole waves, one per key."""
+    """Stored answers of whole waves, also those of a job that failed later, one per key."""
     jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{answers.rstrip('/')}/wave=*/_SUCCESS")
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{answers.rstrip('/')}/wave=*/*.parquet")
     files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    waves = [str(f.getPath().getParent()) for f in files.globStatus(pattern) or []]
+    waves = sorted({str(f.getPath().getParent()) for f in files.globStatus(pattern) or []})
     if not waves:
         return local_rows(spark, [], ANSWERS)
     return spark.read.schema(ANSWERS).parquet(*waves).dropDuplicates(["prompt_key"])

@@ -324,7 +324,9 @@ def _timed_walks(edges: DataFrame) -> DataFrame:
         F.lit(None).cast("bigint").alias("latest"),
         F.struct("a", "b", "c", "first_at", "last_at").alias("walk"),
     )
-    given = edges.select(
+    # only a pair that lies on a walk is asked for
+    along = edges.join(inner.select("src", "dst"), ["src", "dst"], "left_semi")
+    given = along.select(
         F.struct(F.col("src").alias("b"), F.col("dst").alias("c")).alias("pair"),
         "at",
         F.lit(1).alias("rank"),

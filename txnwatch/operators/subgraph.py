@@ -19,6 +19,7 @@ from txnwatch.operators.graph import (
     smurfing_pairs,
 )
 from txnwatch.operators.keyed import top
+from txnwatch.session import written
 
 
 def _link(source: str, target: str, amount: str, currency: str) -> Column:
@@ -61,12 +62,15 @@ def _findings(rows: DataFrame, pattern: str, place: int, order, nodes, links) ->
 
 def findings(graph: TxnGraph, layering: int = 3, circular: int = 3, smurfing: int = 5,
              owner: int = 3) -> DataFrame:
-    """First rows of each pattern in a total order, with their path nodes and links."""
-    chains = paths.layering_top(graph.transfers, layering)
-    cycles = paths.circular_top(graph.transfers, circular)
-    deposits = smurfing_pairs(graph.transfers, smurfing)
+    """First rows of each pattern in a total order, with their path nodes and links.
+
+    The transfers are read by many steps, so they are derived and written once."""
+    transfers = written(graph.transfers, "transfers")
+    chains = paths.layering_top(transfers, layering)
+    cycles = paths.circular_top(transfers, circular)
+    deposits = smurfing_pairs(transfers, smurfing)
     owners = top(
-        owner_risk(graph.transfers, graph.owns, graph.entities),
+        owner_risk(transfers, graph.owns, graph.entities),
         owner,
         F.col("transaction_id"),
         F.col("beneficiary"),

@@ -65,3 +65,13 @@ def test_number_of_scans(spark, small, name, scans):
     df.collect()
     final = plan_of(df).split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") <= scans
+
+
+@pytest.mark.parametrize("name", ["sliding_features_60m", "rolling_1h_all"])
+def test_marks_are_made_by_generated_code(spark, small, name):
+    assert "lambdafunction" not in plan_of(QUERIES[name](spark, small))
+
+
+@pytest.mark.parametrize("name", ["graph_verdict", "graph_inference"])
+def test_findings_parse_the_events_once(spark, small, name):
+    assert "get_json_object" not in plan_of(QUERIES[name](spark, small))

@@ -110,7 +110,8 @@ def window_runs(minutes: DataFrame, size: int) -> DataFrame:
         F.col("peak").isNotNull(), mark(minute, lambda c: F.nullif(c, c), F.col("peak"))
     )
     steps = (
-        spans.select("user_id", F.inline(F.array_compact(F.array(*marks, highest))))
+        spans.select("user_id", F.inline(F.array(*marks, highest)))
+        .filter("at IS NOT NULL")  # a missing mark; array_compact is evaluated without generated code
         .groupBy("user_id", "at")
         .agg(*[F.sum(c).alias(c) for c in sums], F.max("peak").alias("peak"))
     )
@@ -329,7 +330,8 @@ def _presence(tx: DataFrame) -> DataFrame:
 
     begin = F.when(F.col("begins"), mark(F.col("first"), 0, 1))
     finish = F.when(F.col("ends"), mark(F.col("last") + HOUR, 1, -1))
-    return gaps.select("user_id", F.inline(F.array_compact(F.array(begin, finish))))
+    marks = gaps.select("user_id", F.inline(F.array(begin, finish)))
+    return marks.filter("rank IS NOT NULL")  # NULL: a missing mark
 
 
 def rolling_hour(tx: DataFrame, width: int = 1) -> DataFrame:
@@ -356,7 +358,8 @@ def rolling_hour(tx: DataFrame, width: int = 1) -> DataFrame:
     def mark(at, rank, sign, entering, leaving):
         return F.struct(
             F.lit(rank).alias("rank"), at.alias("at"),
-            (one * sign).alias("n"), (known * sign).alias("known"), (spend * sign).alias("spend"),
+            *[(c if sign > 0 else F.negative(c)).alias(n)
+              for n, c in (("n", one), ("known", known), ("spend", spend))],
             entering.alias("entering"), leaving.alias("leaving"),
         )
 

@@ -4,7 +4,9 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from txnwatch.llm import backoff
 
@@ -70,3 +72,33 @@ def test_null_ids_repeated_rows_and_no_rows(spark):
     assert backoff.scores(df.limit(0)).count() == 0
     one = backoff.scores(df.limit(1)).first()
     assert one.log_score == pytest.approx(math.log(0.4), abs=1e-5)
+
+
+def test_ngrams_of_one_chunk_only_stay_there(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = ["in all of them " + " ".join(rng.choices(words, k=300)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    light = df.repartitionByRange(4, "doc_id").select(
+        "doc_id", F.col("text").cast("binary"), F.spark_partition_id().alias("part")
+    )
+    chunks = light.mapInArrow(backoff._states, backoff.STATE).localCheckpoint()
+    by, have = backoff.Buckets(sum(len(t.split()) for t in texts)), Counter()
+    for row in chunks.collect():
+        _, _, sizes, hashed = backoff._open(bytes(row.state))
+        for n, (gram, inside) in enumerate(backoff._grams(hashed, backoff._owners(sizes), 3)):
+            have.update((n, int(g)) for g in np.unique(gram[inside].view(np.int64)))
+    found = backoff.masks(chunks, 3, by)
+    rows = backoff.candidates(chunks, found, 3, by).collect()
+    sent = Counter((r.bucket >> by.bits, g) for r in rows for g in r.grams)
+    shared = {g: k for g, k in have.items() if k > 1}
+    assert chunks.count() == 4 and len(shared) > 2000 and len(have) > 20_000
+    assert all(sent[g] == k for g, k in shared.items())
+    # what only looks shared is a small part of the others
+    assert len(sent) - len(shared) < 0.2 * (len(have) - len(shared))
+
+
+def test_steps_come_back():
+    for numbers in ([], [0, 0, 7], [5, 1 << 40, 1 << 63, (1 << 64) - 1], list(range(0, 1 << 20, 300))):
+        given = np.array(numbers, np.uint64)
+        assert (backoff._unpack_steps(backoff._pack_steps(given)) == given).all()

@@ -282,7 +282,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, bucket, place, total = (
             np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in taken]) for i in range(4)
         )
-        at = np.lexsort((place, chunk, bucket))
+        kinds = _different(np.sort(chunk))
+        # rows come sorted by n-gram, so places rise within a chunk's bucket
+        at = np.argsort(bucket.astype(np.int64) * len(kinds) + np.searchsorted(kinds, chunk), kind="stable")
         chunk, bucket, place, total = chunk[at], bucket[at], place[at], total[at]
         changes = np.flatnonzero((chunk[1:] != chunk[:-1]) | (bucket[1:] != bucket[:-1])) + 1
         starts = np.concatenate([[0], changes])
